@@ -6,6 +6,8 @@ import gc
 import tempfile
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +59,14 @@ def text_of(name: str = "text") -> Column:
 def crc_bucket(name: str, parts: int) -> Column:
     """crc32 of the value as text, modulo parts; a null id counts as the text 'null'."""
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("null")).cast("binary")) % parts
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once however often then refers to it, also within lambdas: as a lambda's argument it is never
+    copied into the places that use it, as the optimiser does with columns."""
+    return F.get(F.transform(F.array(value), lambda x: then(x)), 0)
+
+
+def with_struct(rows: DataFrame, value: Column) -> DataFrame:
+    """rows with the struct's fields as columns; as a generator's they are computed once, and no filter is moved below them."""
+    return rows.select("*", F.inline(F.array(value)))
