@@ -67,6 +67,11 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda x: then(x)), 0)
 
 
+def named(**fields: Column) -> Column:
+    """A struct; names given this way stay within lambdas, too."""
+    return F.named_struct(*(x for k, v in fields.items() for x in (F.lit(k), v)))
+
+
 def with_struct(rows: DataFrame, value: Column) -> DataFrame:
     """rows with the struct's fields as columns; as a generator's they are computed once, and no filter is moved below them."""
     return rows.select("*", F.inline(F.array(value)))
