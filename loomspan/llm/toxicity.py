@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: a document is a bag of sentences, and is toxic if one of them is.
 
-A sentence's probability is logistic in its hashed words; a document's is their noisy-or, 1 - prod(1 - p). Labels are known of documents
+A sentence's probability is logistic in its hashed words and their beginnings; a document's is their noisy-or, 1 - prod(1 - p). Labels are known of documents
 only: the gradient of the document's loss reaches its sentences through the noisy-or, so that training finds which of them are to
 blame. Words in fewer than `least` documents of the sample have no weight.
 
@@ -13,6 +13,7 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from typing import Any
 
@@ -22,18 +23,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_bucket
-from .learning import SAMPLE, Hasher, sampled, words_of
+from .learning import SAMPLE, sampled, words_of
 
 BITS = 18
+PREFIXES = (4, 5, 6, 7, 8)
 FOLDS, HELD, THRESHOLD = 4, 2, 0.3
 _SENTENCE = re.compile(r"[^.!?\n]*\w[^.!?\n]*[.!?]*")
 
 
+class Stems(dict):
+    """The places of a word and of its beginnings, remembered for words met before: a stem offends whatever its ending."""
+
+    def __init__(self, keep: int = 150_000) -> None:
+        super().__init__()
+        self.keep = keep
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        parts = {f"{word}$", *(word[:k] for k in PREFIXES if len(word) >= k)}
+        places = tuple({zlib.crc32(x.encode()) & ((1 << BITS) - 1) for x in parts})
+        if len(self) < self.keep:
+            self[word] = places
+        return places
+
+
 def sentences(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _SENTENCE.finditer(text)]
 
 
-def _bags(texts: list[str], hasher: Hasher) -> tuple[list[int], list[int], list[int], list[list[tuple[int, int]]]]:
+def _bags(texts: list[str], hasher: Stems) -> tuple[list[int], list[int], list[int], list[list[tuple[int, int]]]]:
     """Hashed words of all sentences, how many each sentence has, how many sentences each text has, and where they are."""
     places, sizes, counts, spans = [], [], [], []
     for text in texts:
@@ -41,7 +58,7 @@ def _bags(texts: list[str], hasher: Hasher) -> tuple[list[int], list[int], list[
         spans.append(own)
         counts.append(len(own))
         for a, b in own:
-            words = {hasher[w] for w in words_of(text[a:b].lower())}
+            words = set().union(*map(hasher.__getitem__, words_of(text[a:b].lower())))
             places += words
             sizes.append(len(words))
     return places, sizes, counts, spans
@@ -61,7 +78,7 @@ class NoisyOr:
     def instances(self, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         return np.clip(self.bias + _sums(self.weight[places], sizes), -30, 30)
 
-    def fit(self, places: np.ndarray, sizes: np.ndarray, counts: np.ndarray, y: np.ndarray, *, least: int = 4, epochs: int = 25, batch: int = 256, rate: float = 0.4, decay: float = 2e-5, seed: int = 11) -> None:
+    def fit(self, places: np.ndarray, sizes: np.ndarray, counts: np.ndarray, y: np.ndarray, *, least: int = 12, epochs: int = 20, batch: int = 256, rate: float = 0.4, decay: float = 1e-4, seed: int = 11) -> None:
         """Adagrad on the documents' logarithmic loss."""
         sentence_of = np.repeat(np.arange(len(sizes)), sizes)
         text_of = np.repeat(np.arange(len(counts)), counts)
@@ -95,7 +112,7 @@ class NoisyOr:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher = Hasher(BITS)
+    hasher = Stems()
     for batch in batches:
         rows: list[list[bytes]] = [[], []]
         for text in batch.column("text").to_pylist():
@@ -122,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, *, folds: int = FOLDS, held: int =
 
 def _score(sent: Any, locate: float) -> Any:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, hasher = sent.value, Hasher(BITS)
+        model, hasher = sent.value, Stems()
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
