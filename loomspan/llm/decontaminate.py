@@ -22,7 +22,7 @@ from typing import Any
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -130,20 +130,42 @@ def _conclude(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _blocks(spark: SparkSession, items: DataFrame, block_bytes: int) -> list[tuple[int, _Block]]:
+    """The items as broadcasts of about block_bytes of text at most."""
+    asked = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    total = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = 1 if total <= block_bytes else 2 * (total // block_bytes + 1)
+    out = []
+    for k in range(n):
+        own = asked if n == 1 else asked.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
+        out.append((k, _Block(spark.sparkContext.broadcast([(r.item, bytes(r.text)) for r in own.collect()]))))
+    return out
+
+
+def _clean(block: _Block, width: int) -> Any:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, vocabulary, owners = _built(block, width)
+        known = vocabulary.get
+        for batch in batches:
+            stays = []
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                numbers = tuple([known(w, 0) for w in WORD.findall(text.lower())]) if text and owners else ()
+                stays.append(not numbers or next(iter(automaton.iter(numbers)), None) is None)
+            yield batch.filter(pa.array(stays, pa.bool_()))
+
+    return run
+
+
 def scan(docs: DataFrame, items: DataFrame, *, width: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_words, n_hit, items (ids with occurring windows, sorted as strings) and spans
     (hit runs as code points of the original text, end exclusive). items: item_id, text."""
     spark = docs.sparkSession
-    asked = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    total = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = 1 if total <= block_bytes else 2 * (total // block_bytes + 1)
+    blocks = _blocks(spark, items, block_bytes)
     at = docs.select("doc_id", "text", F.lit(None).cast(_HITS).alias("hits"), F.lit(None).cast("long").alias("n_words"))
     schema = at.schema
-    for k in range(n_blocks):
-        own = asked if n_blocks == 1 else asked.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == k)
-        broadcast = spark.sparkContext.broadcast([(r.item, bytes(r.text)) for r in own.collect()])
-        step = _scan(_Block(broadcast), width)
-        if k == n_blocks - 1:
+    for k, block in blocks:
+        step = _scan(block, width)
+        if k == len(blocks) - 1:
             doc_id = docs.schema["doc_id"].dataType.simpleString()
             return at.mapInArrow(lambda batches, step=step: _conclude(step(batches)), f"doc_id {doc_id}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
         at = at.mapInArrow(step, schema)
@@ -163,3 +185,11 @@ def report(docs: DataFrame, items: DataFrame, **options: int) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"),
         F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("hit_spans"),
     )
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, *, width: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of docs without an occurring window, with all their columns; a text is scanned where it is, without a shuffle."""
+    spark = docs.sparkSession
+    for _, block in _blocks(spark, items, block_bytes):
+        docs = docs.mapInArrow(_clean(block, width), docs.schema)
+    return docs
