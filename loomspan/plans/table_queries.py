@@ -139,11 +139,11 @@ def whole_word_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.explode(found).alias("word"))
 
 
-@query("SELECT p_partkey, p_name, p_type FROM part WHERE p_type IN (SELECT min(p_type) FROM part UNION SELECT max(p_type) FROM part) AND regexp_matches(p_name, '[0-4]') AND regexp_matches(p_brand, '[0-9]')")
+@query("SELECT p_partkey, p_name, p_type FROM part WHERE p_type IN (SELECT min(p_type) FROM part UNION SELECT max(p_type) FROM part) AND regexp_matches(p_name, '(ring|bolt)') AND regexp_matches(p_brand, '[0-9]')")
 def symbol_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = t(spark, sf_dir, "part")
     ends = part.agg(F.min("p_type"), F.max("p_type")).first()
-    return names.matching(part, list(ends), "p_type", p_name="[0-4]", p_brand="[0-9]").select("p_partkey", "p_name", "p_type")
+    return names.matching(part, list(ends), "p_type", p_name="(ring|bolt)", p_brand="[0-9]").select("p_partkey", "p_name", "p_type")
 
 
 _HREFS = "WITH h AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages) "
