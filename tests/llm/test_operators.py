@@ -1,0 +1,373 @@
+"""Each operator against a plain version, on whole small tables with nulls, empty and long texts, repeated rows and clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+
+from loomspan.llm import common, decontaminate, packing, pii, quality_fm, quality_rules, simhash, suffix_dedup, token_count, token_orc, toxicity
+from loomspan.llm.components import components
+from loomspan.llm.tokens import ByteBpe, default_path
+
+RNG = random.Random(5)
+WORDS = ["alpha", "Beta", "gämma", "delta", "x1", "the", "of", "RUN", "naïve", "日本", "end."]
+
+
+def prose(n: int) -> str:
+    return " ".join(RNG.choice(WORDS) + RNG.choice(["", ",", "\n", ""]) for _ in range(n))
+
+
+COPY = prose(90)
+ITEM = "which ONE of these seven words is not in the list of ten"
+TEXTS: list[str | None] = [
+    None, "", " \t\n", "one", "one two", COPY, COPY, COPY + " tail", "head " + COPY, prose(300), prose(3000), "a" * 1000, "ab " * 400, "日" * 500,
+    f"{prose(20)} {ITEM.lower()} {prose(20)}", f"x {ITEM}", "short item", "mail jo.e+x@ex-a.co.uk, 10.0.0.255 and 10.0.0.256 or 1.2.3.4.5.6.7.8 card 4111 1111 1111 1111 or 4111-1111-1111-1112 call +1 (212) 555-0100.",
+    "+" + "1 " * 5000, "1 " * 9000, "a@b" + ".c" * 9000, "@" * 50 + "a@b.c_d@e.f.", "line\n" * 30 + "other\nother \nline", "# * $ %\n" * 10,
+    "tok <|endoftext|> en <s> ▁▁ x  y\r\n\x00 \x85 z don't I'LL ½²", "😀 ﬁ ­​" * 20,
+]
+ROWS = [(k, t) for k, t in enumerate(TEXTS)] + [(5, COPY), (None, "no id here"), (None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", "src", len(t or ""), 1, 0.5, True, "k", 7) for i, t in ROWS]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_words int, score double, kept boolean, key string, start int").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.limit(0)
+
+
+def rows(df, *columns):
+    return sorted(map(repr, (tuple(r[c] for c in columns) for r in df.select(*columns).collect())))
+
+
+def lower(t: str | None) -> str:
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+
+
+def test_decontamination(spark, docs, none):
+    items = [(1, ITEM), (2, "Short, ITEM"), (3, None), (4, "!!"), (5, COPY), (5, COPY), (10, ITEM)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+    def plain(t):
+        ws, hit, own = word.findall(lower(t)), set(), set()
+        for i, x in items:
+            xs = word.findall(lower(x))
+            for w in {tuple(xs[k : k + 10]) for k in range(max(1, len(xs) - 9))} if xs else ():
+                for k in range(len(ws) - len(w) + 1):
+                    if tuple(ws[k : k + len(w)]) == w:
+                        hit.update(range(k, k + len(w)))
+                        own.add(str(i))
+        return len(ws), len(hit), len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), bool(hit)
+
+    columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    want = sorted(repr((i, *plain(t))) for i, t in ROWS)
+    assert rows(decontaminate.report(docs, table), *columns) == want
+    assert rows(decontaminate.report(docs, table, block_bytes=200), *columns) == want  # many blocks
+    spans = {r.doc_id: r.spans for r in decontaminate.scan(docs, table).collect()}
+    assert TEXTS[15][spans[15][0].start : spans[15][0].end] == ITEM
+    clean = [i for i, t in ROWS if not plain(t)[-1]]
+    assert Counter(r.doc_id for r in decontaminate.keep_clean(docs, table).collect()) == Counter(clean)
+    assert decontaminate.report(none, table).count() == 0 and decontaminate.report(docs, table.limit(0)).where("contaminated").count() == 0
+
+
+def luhn(d: str) -> bool:
+    return sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(d))) % 10 == 0
+
+
+def test_personal_data(spark, docs, none):
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def valid(kind, v):
+        d = re.sub("[^0-9]", "", v)
+        return {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in v.split(".")), "card": 16 <= len(d) <= 19 and luhn(d), "phone": 8 <= len(d) <= 15}[kind]
+
+    def plain(t):
+        found = [(k, m.start(), m.end()) for k, p in patterns.items() for m in re.finditer(p, t or "") if valid(k, m.group())]
+        text = ",".join(f"{k}:{a}:{b}" for k, a, b in found)
+        return *(sum(f[0] == k for f in found) for k in patterns), hashlib.sha256(text.encode()).hexdigest()
+
+    got = pii.report(docs)
+    assert rows(got, "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256") == sorted(repr((i, *plain(t))) for i, t in ROWS)
+    assert pii.report(none).count() == 0
+    clean = pii.redact(docs)
+    assert clean.columns == docs.columns and clean.count() == len(ROWS)
+    text = clean.where("doc_id = 17").first().text
+    assert text == "mail [EMAIL], [IP] and 10.0.0.256 or [IP].[IP] card [CARD] or 4111-1111-1111-1112 call [PHONE]." or "[EMAIL]" in text and "4111 1111" not in text
+
+
+def test_terms_that_give_an_entity_away(spark):
+    rows_ = [(k, f"word{k} ask zorblax at z@example.org please {prose(5)}") for k in range(6)] + [(k, f"please word{k} {prose(30)}") for k in range(6, 60)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.report(df).collect()}
+    assert all("term:" in got[k].spans for k in range(6)) and not any(got[k].spans for k in range(6, 60))
+    a = rows_[0][1].index("zorblax")
+    assert f"term:{a}:{a + 7}" in got[0].spans and f"term:{rows_[0][1].index('please')}" not in got[0].spans
+    assert "zorblax" not in pii.redact(df).where("doc_id = 0").first().text
+
+
+def test_simhash(spark, docs, none):
+    def plain(t):
+        ws = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        hs = [xxhash.xxh64_intdigest(" ".join(ws[k : k + 3]).encode(), 42) for k in range(max(1, len(ws) - 2))] if ws else []
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) if hs else 0
+
+    prints = [(i, plain(t)) for i, t in ROWS]
+    group = list(range(len(prints)))
+
+    def find(x):
+        return x if group[x] == x else find(group[x])
+
+    for a in range(len(prints)):
+        for b in range(a):
+            if (prints[a][1] ^ prints[b][1]).bit_count() <= 3:
+                group[find(a)] = find(b)
+    least: dict[int, int | None] = {}
+    for k, (i, _) in enumerate(prints):
+        if i is not None:
+            least[find(k)] = min(least.get(find(k), i), i)
+    want = sorted(repr((i, f"{p:016x}", least.get(find(k)))) for k, (i, p) in enumerate(prints))
+    assert rows(simhash.near_duplicates(docs), "doc_id", "fingerprint", "component_id") == want
+    assert simhash.near_duplicates(none).count() == 0
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and kept.count() == len({find(k) for k in range(len(prints))})
+
+
+def test_links_within_clusters_and_hot_buckets(spark):
+    rng = np.random.default_rng(2)
+    fps = set()
+    for c in rng.integers(0, 1 << 63, 6):
+        x = int(c)
+        for _ in range(60):  # walks, so that links chain
+            x ^= 1 << int(rng.integers(64))
+            fps.add(x)
+    fps |= {int(x) for x in rng.integers(0, 1 << 63, 300)}
+    own = sorted(fps)
+    df = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in own], "fp long")
+    got = {r.node: r.root for r in components(simhash.link(df, chunk=7)).collect()}
+    group = {x: x for x in own}
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a in own:
+        for b in own:
+            if b < a and (a ^ b).bit_count() <= 3:
+                group[find(a)] = find(b)
+    sign = lambda x: int(np.uint64(x).astype(np.int64))
+    parts: dict[int, set[int]] = {}
+    for x in own:
+        parts.setdefault(find(x), set()).add(sign(x))
+    want = {n: min(p) for p in parts.values() if len(p) > 1 for n in p}
+    assert got == want
+
+
+@pytest.mark.parametrize("together", [256, 1])
+def test_repeated_substrings(spark, docs, none, together):
+    texts = [(t or "").encode() for _, t in ROWS]
+    times = Counter(t[k : k + 200] for t in texts for k in range(len(t) - 199))
+
+    def plain(t):
+        mark = bytearray(len(t))
+        for k in range(len(t) - 199):
+            if times[t[k : k + 200]] > 1:
+                mark[k : k + 200] = b"\1" * 200
+        kept = bytes(c for c, m in zip(t, mark, strict=True) if not m)
+        return len(t), sum(mark), len(re.findall(rb"\x01+", mark)), hashlib.sha256(kept).hexdigest()
+
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    got = suffix_dedup.remove_repeats(docs, together=together)
+    assert rows(got, *columns) == sorted(repr((i, *plain((t or "").encode()))) for i, t in ROWS)
+    assert suffix_dedup.remove_repeats(none).count() == 0
+
+
+def test_rule_statistics(spark, docs, none):
+    def plain(t):
+        t = t or ""
+        ws = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        own = [tuple(ws[k : k + 8]) for k in range(len(ws) - 7)]
+        times, mark = Counter(own), [0] * len(ws)
+        for k, w in enumerate(own):
+            if times[w] > 1:
+                mark[k : k + 8] = [1] * 8
+        return len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), sum(mark), len(ws) < 20 or 100 * sum(mark) > 30 * len(ws)
+
+    labels = spark.createDataFrame([(0, 0, 0)], "doc_id long, quality int, toxic int")
+    got = quality_rules.judge(docs, labels)
+    assert rows(got, "doc_id", *quality_rules.COUNTS, "base_failed") == sorted(repr((i, *plain(t))) for i, t in ROWS)
+    assert got.where("kept = base_failed").count() == 0  # no rules learned from one label
+    assert quality_rules.judge(none, labels).count() == 0
+    kept = quality_rules.keep(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(not plain(t)[-1] for _, t in ROWS)
+
+
+def test_rules_are_learned_and_leave_clean_rows():
+    rng = np.random.default_rng(0)
+    x = rng.random((3000, len(quality_rules.FEATURES)))
+    bad = (x[:, 2] > 0.9) | (x[:, 5] > 0.8) & (x[:, 1] < 0.3)
+    rules = quality_rules.learn(x, bad)
+    hit = np.zeros(len(x), bool)
+    for r in rules:
+        hit |= quality_rules._covered(r, x)
+    assert (hit & bad).sum() > 0.9 * bad.sum() and (hit & ~bad).sum() < 0.02 * len(x)
+    assert quality_rules.learn(x, rng.random(3000) < 0.1) == []
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    rng = random.Random(1)
+    words = [f"w{k}" for k in range(400)]
+    rows_ = []
+    for k in range(700):
+        body = [rng.choice(words) for _ in range(60)]
+        junk, toxic = k % 6 == 0, k % 5 == 0
+        if junk:
+            body = [f"{w}###" for w in body]
+        if toxic:
+            body[rng.randrange(60)] = rng.choice(["vileword", "vileness"])
+        text = "".join(f"{' '.join(body[a : a + 10])}. " for a in range(0, 60, 10))
+        rows_.append((k, text, int(not junk), int(toxic)))
+    df = spark.createDataFrame(rows_, "doc_id long, text string, quality int, toxic int")
+    return df.select("doc_id", "text"), df.select("doc_id", "quality", "toxic"), {r[0]: r for r in rows_}
+
+
+def test_quality_classifier(spark, labelled, docs, none):
+    df, labels, truth = labelled
+    got = quality_fm.classify(df, labels).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    held = [r for r in got if r.held_out]
+    assert sum(r.predicted == truth[r.doc_id][2] for r in held) > 0.95 * len(held)
+    odd = quality_fm.classify(docs, labels).collect()
+    assert len(odd) == len(ROWS) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in odd)
+    assert quality_fm.classify(none, labels).count() == 0
+    assert {r.score for r in quality_fm.classify(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_pairwise_sum_equals_all_pairs():
+    m = quality_fm.Machine(np.zeros((len(quality_fm.STATISTICS), quality_fm.BINS - 1)))
+    m.weight[:] = np.random.default_rng(1).normal(size=len(m.weight))
+    at, value = np.array([3, 8, 9, 20]), np.array([0.5, 1, 2, 0.1], np.float32)
+    score, _ = m.score(np.array([0, 4]), at, value)
+    pairs = sum(float(m.vector[at[i]] @ m.vector[at[j]]) * value[i] * value[j] for i in range(4) for j in range(i))
+    assert score[0] == pytest.approx(float(m.weight[at] @ value) + pairs, rel=1e-4)
+
+
+def test_toxicity(spark, labelled, docs, none):
+    df, labels, truth = labelled
+    got = toxicity.classify(df, labels).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    held = [r for r in got if r.held_out]
+    assert sum(r.predicted == truth[r.doc_id][3] for r in held) > 0.95 * len(held)
+    found = next(r for r in held if r.predicted and r.sentences)
+    assert "vile" in truth[found.doc_id][1][found.sentences[0].start : found.sentences[0].end]
+    odd = toxicity.classify(docs, labels).collect()
+    assert len(odd) == len(ROWS) and all(0 <= r.score <= 1 for r in odd)
+    assert toxicity.classify(none, labels).count() == 0
+
+
+def _ids(library, t):
+    return [*library.encode(t or "", add_special_tokens=False).ids, 2]
+
+
+def _crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(default_path("byte_bpe_50k.json"))
+
+
+def test_ids_are_the_library_s(library):
+    own = ByteBpe(default_path("byte_bpe_50k.json"))
+    texts = [t for t in TEXTS if t is not None] + [prose(50) for _ in range(50)]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_packing(spark, docs, none, library):
+    got = packing.pack(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), with_ids=True).collect()
+    rooms: dict[int, list[tuple[int, int]]] = {}
+    by: dict[int, list] = {}
+    for r in sorted(got, key=lambda r: (r.doc_id, r.piece)):
+        rooms.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        by.setdefault(r.doc_id, []).append(r)
+    for own in rooms.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    for i, own in by.items():
+        ids = _ids(library, TEXTS[i])
+        assert [r.piece for r in own] == list(range(len(own))) and all(r.length == 1024 for r in own[1:])
+        assert [x for r in own for x in r.ids] == ids and all(r.ids_crc32 == _crc(ids[r.start : r.start + r.length]) for r in own)
+    total = sum(r.length for r in got)
+    assert len(rooms) <= -(-total // 1024) + 2
+    assert packing.pack(docs).count() >= len(ROWS) and packing.pack(none).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 400, 20_000])
+def test_plans_place_everything_once(n):
+    lengths = np.minimum(1024, np.maximum(1, np.random.default_rng(n).lognormal(5.5, 1.2, n).astype(int)))
+    counts = {int(k): int(v) for k, v in zip(*np.unique(lengths, return_counts=True), strict=True)}
+    used: Counter = Counter()
+    for length, ranks in ((x, sorted((r[1], r[2]) for r in plan_ if r[0] == x)) for plan_ in [packing.plan(counts, 1024)] for x in counts):
+        at = 0
+        for a, m in ranks:
+            assert a == at
+            at += m
+        assert at == counts[length]
+    for length, _, m, first, _ in packing.plan(counts, 1024):
+        for k in range(m):
+            used[first + k] += length
+    assert all(x <= 1024 for x in used.values()) and len(used) <= 1.02 * lengths.sum() / 1024 + 3
+
+
+def test_token_counts(spark, docs, none):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=default_path("piece_bpe_32k.model"))
+    want = sorted(repr((i, len((t or "").encode()), n := len(sp.encode(t or "")), n > 4096)) for i, t in ROWS)
+    assert rows(token_count.count_tokens(docs), "doc_id", "n_bytes", "n_tokens", "over_limit") == want
+    assert token_count.count_tokens(none).count() == 0
+    merger = token_count.RankMerger(default_path("piece_bpe_32k.model"))
+    texts = ["".join(RNG.choice("abcdeion t\n ▁é日12.") for _ in range(RNG.randint(1, 300))) for _ in range(300)]
+    assert merger.count(texts) == [len(sp.encode(t)) for t in texts]
+
+
+def test_orc_round_trip(spark, docs, none, library):
+    want, at = [], 0
+    single = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    for i, t in enumerate(TEXTS):
+        ids = _ids(library, t)
+        want.append((i, at, len(ids), _crc(ids)))
+        at += len(ids)
+    assert rows(token_orc.report(single), "doc_id", "start", "n_tokens", "ids_crc32") == sorted(map(repr, want))
+    whole = token_orc.report(docs).collect()
+    ends = sorted((r.start, r.n_tokens) for r in whole)
+    assert len(whole) == len(ROWS) and all(a + n == b for (a, n), (b, _) in zip(ends, ends[1:], strict=False))
+    path = common.fresh_path(spark, "some.orc")
+    token_orc.write(single, path)
+    one = spark.read.orc(path).where("doc_id = 10").collect()
+    assert len(one) == 1 and one[0].ids == _ids(library, TEXTS[10])
+    assert token_orc.report(none).count() == 0
+
+
+def test_shared_folder_is_the_session_s(spark):
+    assert common.fresh_path(spark, "x").startswith(common.shared_dir(spark))
