@@ -82,7 +82,7 @@ def ts_callees_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(f.symbols.select("id", "name"), "id").select("name", "depth")
 
 
-@query("file, first, last", [("src/main.ts", 1, 3), ("src/main.ts", 5, 15), ("src/main.ts", 17, 20), ("src/main.ts", 22, 22), ("src/depot.ts", 3, 14), ("src/crate.ts", 11, 18), ("src/crate.ts", 22, 23), ("src/crate.ts", 26, 32), ("src/text.ts", 7, 9)])
+@query("file, first, last", [("src/main.ts", 1, 3), ("src/main.ts", 5, 5), ("src/main.ts", 7, 15), ("src/main.ts", 17, 22), ("src/crate.ts", 10, 17), ("src/crate.ts", 24, 24), ("src/crate.ts", 26, 28), ("src/crate.ts", 30, 32), ("src/depot.ts", 3, 15), ("src/text.ts", 7, 9)])
 def ts_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     f, _, links, refs = project(spark)
     s = context.extract(f, links, f.symbols.where("name = 'run'").first().id, type_refs=refs)
