@@ -58,12 +58,17 @@ def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: i
     encoded.write.options(**ORC).orc(path)
 
 
+def _with_start(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """rows (part, start_in_part, ...) with start over all parts; parts: part, start_in_part, n_tokens of every document."""
+    totals = parts.groupBy("part").agg(F.max(F.col("start_in_part") + F.col("n_tokens")).alias("total"))
+    before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
+    return rows.join(before, "part").withColumn("start", F.col("before") + F.col("start_in_part")).drop("before")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The files' rows, with start over all parts."""
     rows = spark.read.orc(path)
-    totals = rows.groupBy("part").agg(F.max(F.col("start_in_part") + F.col("n_tokens")).alias("total"))
-    before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
-    return rows.join(before, "part").withColumn("start", F.col("before") + F.col("start_in_part")).drop("before")
+    return _with_start(rows, rows)
 
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +76,8 @@ def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = batch.column("ids")
         values, offsets = np.asarray(ids.values, "<u4").view(np.uint8), np.asarray(ids.offsets, np.int64) * 4
         crc = [zlib.crc32(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        names = [x for x in batch.schema.names if x != "ids"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(crc, pa.int64())], [*names, "ids_crc32"])
 
 
 def report(docs: DataFrame, *, tokenizer: str | None = None) -> DataFrame:
@@ -80,4 +86,7 @@ def report(docs: DataFrame, *, tokenizer: str | None = None) -> DataFrame:
     path = fresh_path(spark, "tokens.orc")
     write(docs, path, tokenizer=tokenizer)
     doc_id = docs.schema["doc_id"].dataType.simpleString()
-    return read(spark, path).select("doc_id", "start", "n_tokens", "ids").mapInArrow(_crc, f"doc_id {doc_id}, start long, n_tokens long, ids_crc32 long")
+    rows = spark.read.orc(path)
+    # The checksums are taken where the ids are read; only they and the places are joined.
+    small = rows.mapInArrow(_crc, f"doc_id {doc_id}, part int, start_in_part long, n_tokens long, ids_crc32 long")
+    return _with_start(small, rows).select("doc_id", "start", "n_tokens", "ids_crc32")
