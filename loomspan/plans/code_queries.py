@@ -101,7 +101,8 @@ def stream_index_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixture as files, brought into a store by a stream that runs once; the paths in the store."""
     from ..streaming.watch import watch
 
-    home = Path(tempfile.mkdtemp(prefix="loomspan-"))
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://").removeprefix("file:")
+    home = Path(tempfile.mkdtemp(prefix="loomspan-", dir=shared if shared.startswith("/") and Path(shared).is_dir() else None))
     for k, v in fixture.SOURCES.items():
         (home / "root" / k).parent.mkdir(parents=True, exist_ok=True)
         (home / "root" / k).write_text(v)
