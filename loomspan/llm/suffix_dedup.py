@@ -8,10 +8,10 @@ digits are taken in the order in which they separate most:
    their anchor at one place form a run, which stays one row while no digit tells its windows apart (a run holds some 85). Grams
    that occur in one run only are unique: no window of theirs is repeated.
 2. The whole region that a run's windows cover. Runs with equal regions are repeated from end to end.
-3. The last digit, the window itself, only for one run of each different region under a gram that has several.
+3. The last digit, the window itself, only for one run of each different region under a gram that has several. A gram's
+   regions, if it has `together` runs at most, meet in one task as bytes; of a gram with more, each window becomes a row.
 
-Every digit is a hash of 64 bits; a group in pass 2 or 3 agrees in two, of different functions. No window is left out, whatever its
-group's size: groups are counted (before the shuffle too) and joined, never brought together.
+Every digit is a hash of 64 bits; a group in pass 2 or 3 agrees in two, of different functions. No window is left out, whatever its group's size: groups are counted (before the shuffle too) and joined, and only those of bounded size are brought together.
 
 A document is a row; a row is named by doc_id and a hash of its text, so equal rows are copies of each other. Defined results: a null
 text is empty; texts under `depth` bytes keep everything; an empty table gives no rows; other columns are ignored.
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, materialize
+from .common import discard, free, materialize
 
 GRAM = 32
 _BLOCK = 1 << 20
@@ -113,7 +113,7 @@ def _windows(depth: int) -> Any:
             for k, (text, info) in enumerate(zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("info").to_pylist(), strict=True)):
                 grams, starts, found, alone = [], [], [], []
                 for x in info:
-                    if x["gram"] is not None:
+                    if x["gram"] is not None and x["wide"]:
                         lo, n = divmod(x["run"], 256)
                         found += [digest(text[s : s + depth]) for s in range(lo, lo + n)]
                         starts += range(lo, lo + n)
@@ -126,6 +126,71 @@ def _windows(depth: int) -> Any:
     return run
 
 
+def _regions(depth: int) -> Any:
+    """The bytes of the regions asked for, of grams that aren't wide."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hs = batch.column("doc_id"), batch.column("h")
+            rows: list[list[Any]] = [[], [], [], [], []]
+            for k, (text, info) in enumerate(zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("info").to_pylist(), strict=True)):
+                for x in info:
+                    if x["gram"] is not None and not x["wide"]:
+                        lo, n = divmod(x["run"], 256)
+                        for column, value in zip(rows, (k, x["gram"], lo, x["alone"], text[lo : lo + n + depth - 1]), strict=True):
+                            column.append(value)
+            take = pa.array(rows[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids.take(take), hs.take(take), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.bool_()), pa.array(rows[4], pa.binary())], ["doc_id", "h", "gram", "start", "alone", "region"])
+
+    return run
+
+
+def repeated_within(regions: list[bytes], wanted: list[bool], depth: int) -> list[list[tuple[int, int]]]:
+    """For each wanted region the spans (from its own start) of windows that another region has too."""
+    digest = xxhash.xxh3_64_intdigest
+    sizes = [len(r) - depth + 1 for r in regions]
+    own = np.fromiter((digest(r[k : k + depth]) for r, n in zip(regions, sizes, strict=True) for k in range(n)), np.uint64, sum(sizes))
+    _, inverse, times = np.unique(own, return_inverse=True, return_counts=True)
+    again = times[inverse] > 1
+    ends = np.cumsum(sizes)
+    return [merged([(int(k), int(k) + depth) for k in np.flatnonzero(again[e - n : e])]) if w else [] for e, n, w in zip(ends, sizes, wanted, strict=True)]
+
+
+def _compare(depth: int) -> Any:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by gram; the last gram of a batch waits for the next."""
+        left: pa.Table | None = None
+
+        def compared(rows: pa.Table) -> pa.RecordBatch:
+            gram, start = rows["gram"].to_numpy(), rows["start"].to_numpy()
+            regions, alone = rows["region"].to_pylist(), rows["alone"].to_pylist()
+            edges = [0, *(np.flatnonzero(gram[1:] != gram[:-1]) + 1).tolist(), len(gram)]
+            at, spans = [], []
+            for a, b in zip(edges, edges[1:], strict=False):
+                for k, own in enumerate(repeated_within(regions[a:b], alone[a:b], depth), a):
+                    at += [k] * len(own)
+                    spans += [(int(start[k]) + x, int(start[k]) + y) for x, y in own]
+            take = pa.array(at, pa.int64())
+            ids, hs = (rows[c].combine_chunks().take(take) for c in ("doc_id", "h"))
+            plain = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (ids, hs)]
+            return pa.RecordBatch.from_arrays([*plain, pa.array([x for x, _ in spans], pa.int64()), pa.array([y for _, y in spans], pa.int64())], ["doc_id", "h", "start", "end"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch]) if left is None else pa.concat_tables([left, pa.Table.from_batches([batch])])
+            gram = rows["gram"].to_numpy()
+            other = np.flatnonzero(gram != gram[-1])
+            cut = int(other[-1]) + 1 if len(other) else 0
+            left = rows.slice(cut)
+            if cut:
+                yield compared(rows.slice(0, cut))
+        if left is not None and left.num_rows:
+            yield compared(left)
+
+    return run
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The union, as maximal runs."""
     out: list[tuple[int, int]] = []
@@ -143,7 +208,7 @@ def _remove(depth: int, with_text: bool) -> Any:
             removed, n_spans, sha, kept_texts, all_spans = [], [], [], [], []
             for text, info, starts in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("info").to_pylist(), batch.column("starts").to_pylist(), strict=True):
                 own = [(x["run"] // 256, x["run"] // 256 + x["run"] % 256 + depth - 1) for x in info or [] if x["repeated"]]
-                spans = merged(own + [(s, s + depth) for s in starts or []])
+                spans = merged(own + [(x["start"], x["end"]) for x in starts or []])
                 at, kept = 0, []
                 for a, b in spans:
                     kept.append(text[at:a])
@@ -169,7 +234,7 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
     return (a["h"] == b["h"]) & a["doc_id"].eqNullSafe(b["doc_id"])
 
 
-def remove_repeats(docs: DataFrame, *, depth: int = 200, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, depth: int = 200, with_text: bool = False, together: int = 1 << 15) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text adds kept (the bytes) and spans
     (byte ranges removed, end exclusive). Removed is each byte within a string of depth bytes that also starts anywhere else."""
     if not GRAM <= depth < 256 + GRAM:
@@ -179,29 +244,34 @@ def remove_repeats(docs: DataFrame, *, depth: int = 200, with_text: bool = False
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     anchors = texts.where(F.octet_length("text") >= depth).select("doc_id", "h", "text").mapInArrow(_anchors(depth), f"doc_id {doc_id}, h long, run long, gram long, region long")
     # Pass 1: grams of one run only leave.
-    grams = materialize(anchors.groupBy("gram").agg(F.count("*").alias("n"), F.min("region").alias("a"), F.max("region").alias("b")).where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("several")), "grams")
+    grams = materialize(anchors.groupBy("gram").agg(F.count("*").alias("n"), F.min("region").alias("a"), F.max("region").alias("b")).where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("several"), (F.col("n") > together).alias("wide")), "grams")
     free(spark)
     met = materialize(anchors.join(grams, "gram"), "met")
     free(spark)
     # Pass 2: under a gram of several regions, a region of several runs is repeated; one run of each region goes on.
     mixed = met.where("several")
-    regions = materialize(mixed.groupBy("gram", "region").agg(F.count("*").alias("n"), F.min(F.struct("h", "run", "doc_id")).alias("one")), "regions")
+    regions = materialize(mixed.groupBy("gram", "region").agg(F.count("*").alias("n"), F.min(F.struct("h", "run", "doc_id")).alias("one"), F.max("wide").alias("wide")), "regions")
+    one = regions.select("one.doc_id", "one.h", F.struct(F.col("one.run").alias("run"), "gram", F.lit(False).alias("repeated"), (F.col("n") == 1).alias("alone"), "wide").alias("x"))
     none = F.lit(None).cast("long")
     repeated = met.where("not several").select("doc_id", "h", "run").unionByName(mixed.join(regions.where("n > 1").select("gram", "region"), ["gram", "region"], "left_semi").select("doc_id", "h", "run"))
-    info = repeated.select("doc_id", "h", F.struct("run", none.alias("gram"), F.lit(True).alias("repeated"), F.lit(False).alias("alone")).alias("x"))
-    info = info.unionByName(regions.select("one.doc_id", "one.h", F.struct(F.col("one.run").alias("run"), "gram", F.lit(False).alias("repeated"), (F.col("n") == 1).alias("alone")).alias("x")))
+    info = repeated.select("doc_id", "h", F.struct("run", none.alias("gram"), F.lit(True).alias("repeated"), F.lit(False).alias("alone"), F.lit(False).alias("wide")).alias("x"))
+    info = info.unionByName(one)
     info = info.groupBy("doc_id", "h").agg(F.collect_list("x").alias("info"))
     has = F.col("info").isNotNull()
     known = materialize(
         texts.join(info, _same(texts, info), "left").select(texts["doc_id"], texts["h"], "info", F.octet_length("text").cast("long").alias("n_bytes"), F.when(has, F.col("text")).alias("text"), F.when(~has, F.sha2(F.col("text").cast("binary"), 256)).alias("kept_sha256"), *[F.when(~has, F.col("text")).alias("whole")] * with_text),
         "known",
     )
+    discard(grams, met, regions)
     free(spark)
-    # Pass 3: the windows themselves.
-    asked = known.where(F.exists("info", lambda x: x["gram"].isNotNull()))
-    windows = asked.select("doc_id", "h", "text", "info").mapInArrow(_windows(depth), f"doc_id {doc_id}, h long, start long, gram long, window long, alone boolean")
+    # Pass 3: the windows themselves. Where a gram has few regions, these meet and are compared; where it has many, windows become rows.
+    asked = known.where(F.exists("info", lambda x: x["gram"].isNotNull())).select("doc_id", "h", "text", "info")
+    near = asked.mapInArrow(_regions(depth), f"doc_id {doc_id}, h long, gram long, start long, alone boolean, region binary").repartition("gram").sortWithinPartitions("gram")
+    spans = near.mapInArrow(_compare(depth), f"doc_id {doc_id}, h long, start long, end long")
+    windows = asked.where(F.exists("info", lambda x: x["wide"])).mapInArrow(_windows(depth), f"doc_id {doc_id}, h long, start long, gram long, window long, alone boolean")
     equal = windows.groupBy("gram", "window").agg(F.count("*").alias("n")).where("n > 1").select("gram", "window")
-    starts = windows.where("alone").join(equal, ["gram", "window"], "left_semi").groupBy("doc_id", "h").agg(F.collect_set("start").alias("starts"))
+    wide = windows.where("alone").join(equal, ["gram", "window"], "left_semi").select("doc_id", "h", "start", (F.col("start") + depth).alias("end"))
+    starts = spans.unionByName(wide).groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end")).alias("starts"))
     candidates = known.where(has)
     cut = candidates.join(starts, _same(candidates, starts), "left").select(candidates["doc_id"], "n_bytes", "text", "info", "starts")
     kinds = f"doc_id {doc_id}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<start:long,end:long>>" * with_text
