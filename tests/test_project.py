@@ -40,7 +40,9 @@ def test_spans_are_the_lines_that_redacted_prints(spark):
 def test_slice_as_json(spark):
     s = json.loads(render.as_json(_slice(spark, "weigh")))
     assert s["EnclosingType"]["Symbol"]["name"] == "Crate" and s["EnclosingType"]["Header"].startswith("class Crate extends Holder implements Labelled {")
-    assert [c["Symbol"]["name"] for c in s["Callers"]] == ["run"] and s["Callees"] is None and s["Imports"] == []
+    assert [c["Symbol"]["name"] for c in s["Callers"]] == ["run"] and s["Callees"] is None
+    assert [x["Edge"]["path"] for x in s["Imports"]] == ["./shapes"]  # the class's header names what it implements
+    assert json.loads(render.as_json(_slice(spark, "check")))["Imports"] == []
     with pytest.raises(ValueError):
         context.Options(caller_depth=-1)
     f, _, links, _ = code_queries.project(spark)
