@@ -4,7 +4,7 @@ A sentence's probability is logistic in its hashed words and their beginnings; a
 only: the gradient of the document's loss reaches its sentences through the noisy-or, so that training finds which of them are to
 blame. Words in fewer than `least` documents of the sample have no weight.
 
-Labels of the held-out fold, lang, source and doc_id are no inputs of a score. The fit uses at most learning.SAMPLE rows.
+Labels of the held-out fold, lang, source and doc_id are no inputs of a score. The fit uses at most SAMPLE rows.
 
 Defined results: a null or blank text has no sentence and score 0; repeated rows get a row each; without labels every score is 0.5;
 an empty table gives no rows; other columns are ignored.
@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_bucket
-from .learning import SAMPLE, sampled, words_of
+from .learning import sampled, words_of
 
 BITS = 18
 PREFIXES = (4, 5, 6, 7, 8)
+#: The documented bound of labelled documents learned from.
+SAMPLE = 6000
 FOLDS, HELD, THRESHOLD = 4, 2, 0.3
 _SENTENCE = re.compile(r"[^.!?\n]*\w[^.!?\n]*[.!?]*")
 
@@ -78,15 +80,8 @@ class NoisyOr:
     def instances(self, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         return np.clip(self.bias + _sums(self.weight[places], sizes), -30, 30)
 
-    def fit(self, places: np.ndarray, sizes: np.ndarray, counts: np.ndarray, y: np.ndarray, *, least: int = 12, epochs: int = 20, batch: int = 256, rate: float = 0.4, decay: float = 1e-4, seed: int = 11) -> None:
+    def fit(self, places: np.ndarray, sizes: np.ndarray, counts: np.ndarray, y: np.ndarray, *, epochs: int = 30, batch: int = 256, rate: float = 0.4, decay: float = 1e-4, seed: int = 11) -> None:
         """Adagrad on the documents' logarithmic loss."""
-        sentence_of = np.repeat(np.arange(len(sizes)), sizes)
-        text_of = np.repeat(np.arange(len(counts)), counts)
-        pairs = np.unique(text_of[sentence_of] * (1 << BITS) + places)
-        common = np.bincount(pairs % (1 << BITS), minlength=1 << BITS) >= least
-        used = common[places]
-        places, sentence_of = places[used], sentence_of[used]
-        sizes = np.bincount(sentence_of, minlength=len(sizes))
         word_begin, text_begin = np.concatenate(([0], np.cumsum(sizes))), np.concatenate(([0], np.cumsum(counts)))
         seen, seen_b, rng = np.full(1 << BITS, 1e-3), 1e-3, np.random.default_rng(seed)
         for _ in range(epochs):
@@ -122,7 +117,19 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *(pa.array(x, pa.binary()) for x in rows)], ["doc_id", "label", "places", "sizes"])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, folds: int = FOLDS, held: int = HELD, sample: int = SAMPLE) -> NoisyOr | None:
+def frequent(bags: list[tuple[np.ndarray, np.ndarray]], least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each text's places and sentence sizes, with only those places that least texts or more have."""
+    texts = np.zeros(1 << BITS, np.int32)
+    for places, _ in bags:
+        texts[np.unique(places)] += 1
+    common, out = texts >= least, []
+    for places, sizes in bags:
+        stays = common[places]
+        out.append((places[stays], np.bincount(np.repeat(np.arange(len(sizes)), sizes)[stays], minlength=len(sizes)).astype(np.int32)))
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, *, folds: int = FOLDS, held: int = HELD, sample: int = SAMPLE, least: int = 12) -> NoisyOr | None:
     """Fitted on labels.toxic of documents whose crc32(doc_id as text) mod folds isn't held; None without labels."""
     rows = sampled(docs, labels, "toxic", crc_bucket("doc_id", folds) != held, sample)
     doc_id = docs.schema["doc_id"].dataType.simpleString()
@@ -131,9 +138,14 @@ def train(docs: DataFrame, labels: DataFrame, *, folds: int = FOLDS, held: int =
     if not got:
         return None
     got.sort(key=lambda r: (r.doc_id, bytes(r.places)))
+    y = np.array([float(r.label) for r in got])
+    bags = frequent([(np.frombuffer(r.places, np.int32), np.frombuffer(r.sizes, np.int32)) for r in got], least)
+    del got
+    counts = np.array([len(s) for _, s in bags], np.int64)
+    places, sizes = (np.concatenate([b[k] for b in bags]) for k in (0, 1))
+    del bags
     model = NoisyOr()
-    places, sizes = (np.concatenate([np.frombuffer(r[k], np.int32) for r in got]).astype(np.int64) for k in ("places", "sizes"))
-    model.fit(places, sizes, np.array([len(r.sizes) // 4 for r in got], np.int64), np.array([float(r.label) for r in got]))
+    model.fit(places, sizes, counts, y)
     return model
 
 
