@@ -103,7 +103,7 @@ def test_personal_data(spark, docs, none):
     clean = pii.redact(docs)
     assert clean.columns == docs.columns and clean.count() == len(ROWS)
     text = clean.where("doc_id = 17").first().text
-    assert text == "mail [EMAIL], [IP] and 10.0.0.256 or [IP].[IP] card [CARD] or 4111-1111-1111-1112 call [PHONE]." or "[EMAIL]" in text and "4111 1111" not in text
+    assert all(x in text for x in ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "10.0.0.256", "4111-1111-1111-1112")) and not any(x in text for x in ("ex-a", "10.0.0.255", "4111 1111", "555-0100"))
 
 
 def test_terms_that_give_an_entity_away(spark):
