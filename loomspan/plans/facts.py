@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scanner import scan
+from ..operators.graph import shared_folder
 from ..sources import modules
 
 _NAMED = "array<struct<name:string,type:string>>"
@@ -54,6 +55,7 @@ def extract(files: DataFrame) -> dict[str, DataFrame]:
     """The facts of each file of files (path, content): tables by name, warnings among them. A file is scanned once; the tables are
     cut from one row per file."""
     spark = files.sparkSession
+    shared_folder(spark)
     ddl = "path string, warnings array<string>, " + ", ".join(f"{k} array<struct<{v}>>" for k, v in SCHEMAS.items())
     schema = _arrow(spark, ddl)
 
@@ -62,7 +64,7 @@ def extract(files: DataFrame) -> dict[str, DataFrame]:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 yield pa.RecordBatch.from_pylist([{"path": path, **scan(content or b"", path)}], schema)
 
-    whole = files.select("path", "content").mapInArrow(run, ddl).cache()
+    whole = files.select("path", "content").mapInArrow(run, ddl).checkpoint()
     out = {k: whole.select(F.inline(k)) for k in SCHEMAS}
     return out | {"warnings": whole.select("path", F.explode("warnings").alias("warning"))}
 
@@ -72,6 +74,6 @@ def build(files: DataFrame, by: modules.Resolver, known: DataFrame | None = None
     got = facts or extract(files)
     paths = files.select("path") if known is None else files.select("path").union(known.select("path")).distinct()
     specs = got["imports"].select("file", "path").union(got["re_exports"].select("file", "path"))
-    found = modules.resolve(specs, paths, by).cache()
+    found = modules.resolve(specs, paths, by).checkpoint()
     edges: dict[str, Any] = {k: got[k].drop("resolved").join(found, ["file", "path"]) for k in ("imports", "re_exports")}
     return Facts(files=files, **(got | edges))

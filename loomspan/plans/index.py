@@ -11,6 +11,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import shared_folder
 from ..sources import files, modules, store
 from . import facts as fact_tables
 from .facts import Facts
@@ -68,7 +69,8 @@ def index_pass(spark: SparkSession, now: DataFrame, path: str, by: modules.Resol
     unless always."""
     old = store.load(spark, path)
     before = old["files"] if old else now.limit(0)
-    status = files.diff(before, now).cache()
+    shared_folder(spark)
+    status = files.diff(before, now).checkpoint()  # a cache would be taken again by a later pass over the same paths
     s = files.summary(status).first()
     changed = s.added + s.changed + s.removed > 0
     if not changed and not always and old:
