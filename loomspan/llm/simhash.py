@@ -10,6 +10,11 @@ distance itself: rows sorted by the first coordinate are compared only while it
 coordinate difference is larger are discarded, survivors are verified. A bucket gives links to the least fingerprint of each part
 that hangs together, not its pairs; a bucket over `chunk` is dealt in chunks, and every two chunks meet in a cell of their own.
 
+keep_one(alike=...) links by the texts themselves: two are linked if the Jaccard similarity of their sets of shingles is `alike` or more.
+Fingerprints at that similarity are too far apart for blocks of bits (about 10 bits at 0.8), so buckets are BANDS bands of ROWS least
+hashes of the set; in a bucket the pivots and the distance `most` leave candidates, and the sets of shingles decide. At a similarity of 0.8
+a pair has no common bucket with probability 4e-6 ((1 - 0.8 ** ROWS) ** BANDS), less above it. Texts of equal sets are one node.
+
 Defined results: a null, empty or blank text has fingerprint zero and is linked like any other; repeated rows get a row each; a component's
 id is its least doc_id (null if it has none); an empty table gives no rows; other columns are ignored.
 """
@@ -32,23 +37,70 @@ from .components import components
 SEED = 42
 PIVOTS = 24
 _PIVOTS = np.random.default_rng(20240501).integers(0, 1 << 64, PIVOTS, dtype=np.uint64)
+#: Buckets of similar sets: so many bands, each of so many least hashes.
+BANDS, ROWS = 24, 4
+_TIMES, _PLUS = np.random.default_rng(20240502).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 
 
-def fingerprint(text: bytes | None, width: int = 3) -> int:
+def shingles(text: bytes | None, width: int) -> np.ndarray:
+    """The hashes of a text's word shingles, in order and with repeats."""
     words = text.lower().split() if text else []
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     first = np.concatenate(([0], ends[:-1]))
     n = max(1, len(words) - width + 1)
     starts, stops = first[:n].tolist(), (ends[min(width, len(words)) - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     total = np.zeros(64, np.int64)
-    for lo in range(0, n, 1 << 17):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[lo : lo + (1 << 17)], stops[lo : lo + (1 << 17)], strict=True)], "<u8")
+    for lo in range(0, len(hashes), 1 << 17):
+        h = hashes[lo : lo + (1 << 17)].astype("<u8")
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(total * 2 > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes | None, width: int = 3) -> int:
+    return majority(shingles(text, width))
+
+
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """A key for each band of least hashes of a set that isn't empty."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for lo in range(0, len(own), 4096):
+        least = np.minimum(least, (own[lo : lo + 4096, None] * _TIMES + _PLUS).min(0))
+    return (least * _PLUS[::-1]).reshape(BANDS, ROWS).sum(1, dtype=np.uint64)
+
+
+def _sketches(width: int) -> Any:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [x for x in batch.schema.names if x != "text"]
+            node, fp, keys = [], [], []
+            for t in batch.column("text").cast(pa.binary()).to_pylist():
+                h = shingles(t, width)
+                own = np.unique(h)
+                node.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                fp.append(majority(h))
+                keys.append(band_keys(own).view(np.int64) if len(own) else np.empty(0, np.int64))
+            made = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), *made, pa.array(keys, pa.list_(pa.int64()))], [*names, "fp", "bits", "keys"])
+
+    return run
+
+
+def _sets(width: int) -> Any:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.unique(shingles(t, width)).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(own, pa.binary())], ["fp", "own"])
+
+    return run
 
 
 def _fingerprints(width: int) -> Any:
@@ -68,8 +120,9 @@ def _masks(blocks: int, most: int) -> list[int]:
     return [int(np.array(sum(own), np.uint64).astype(np.int64)) for own in combinations(bits, blocks - most)]
 
 
-def near_links(cell: np.ndarray, fp: np.ndarray, most: int, pivots: np.ndarray = _PIVOTS) -> np.ndarray:
-    """For each row the place of a representative of the rows of its cell that it hangs together with."""
+def near_links(cell: np.ndarray, fp: np.ndarray, most: int, pivots: np.ndarray = _PIVOTS, linked: Any = None) -> np.ndarray:
+    """For each row the place of a representative of the rows of its cell that it hangs together with. linked, if given, says of the
+    places of near rows which of them are links."""
     table = np.bitwise_count(fp[:, None] ^ pivots[None, :]).astype(np.int16)
     order = np.lexsort((fp, table[:, 0], cell))
     cell, fp, table = cell[order], fp[order], table[order]
@@ -87,6 +140,8 @@ def near_links(cell: np.ndarray, fp: np.ndarray, most: int, pivots: np.ndarray =
         for lo in range(1, len(pivots), 8):
             a = a[np.abs(table[a, lo : lo + 8] - table[a + lag, lo : lo + 8]).max(1) <= most] if len(a) else a
         a = a[np.bitwise_count(fp[a] ^ fp[a + lag]) <= most]
+        if linked is not None and len(a):
+            a = a[linked(order[a], order[a + lag])]
         while len(a):  # joins the labels, least first
             low, high = np.minimum(label[a], label[a + lag]), np.maximum(label[a], label[a + lag])
             np.minimum.at(label, high, low)
@@ -123,20 +178,74 @@ def _links(most: int) -> Any:
     return run
 
 
+def similar(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, alike: float) -> np.ndarray:
+    """Of pairs of sets (sorted arrays), which have a Jaccard similarity of alike or more."""
+
+    def holds(x: np.ndarray, y: np.ndarray) -> bool:
+        if min(len(x), len(y)) < alike * max(len(x), len(y)):
+            return False
+        both = np.sort(np.concatenate((x, y)))
+        common = int((both[1:] == both[:-1]).sum())
+        return common >= alike * (len(both) - common)
+
+    return np.array([holds(sets[i], sets[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)], bool)
+
+
+def _alike_links(most: int, alike: float) -> Any:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by cell, which may go on in the next batch."""
+        at: tuple[int, ...] | None = None
+        rows: list[tuple[int, int, bytes]] = []
+
+        def linked() -> pa.RecordBatch:
+            fp, bits = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+            sets = [np.frombuffer(r[2], np.uint64) for r in rows]
+            to = near_links(np.zeros(len(rows), np.int64), bits.view(np.uint64), most, linked=lambda a, b: similar(sets, a, b, alike))
+            moved = to != np.arange(len(to))
+            return pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[to[moved]])], ["a", "b"])
+
+        for batch in batches:
+            cells = zip(*(batch.column(x).to_pylist() for x in ("band", "pair", "key")), strict=True)
+            for cell, fp, bits, own in zip(cells, *(batch.column(x).to_pylist() for x in ("fp", "bits", "own")), strict=True):
+                if cell != at:
+                    if len(rows) > 1:
+                        yield linked()
+                    at, rows = cell, []
+                rows.append((fp, bits, own))
+        if len(rows) > 1:
+            yield linked()
+
+    return run
+
+
 def link(distinct: DataFrame, *, most: int = 3, blocks: int = 6, chunk: int = 512) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that connect what differs in at most `most` bits."""
     masks = _masks(blocks, most)
     bands = distinct.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("band", "key"))
     bands = bands.select("fp", F.col("band").cast("long").alias("band"), "key")
-    sizes = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    chunks = F.ceil(F.col("n") / chunk)
-    met = bands.join(sizes, ["band", "key"]).withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")))
-    pair = lambda k: F.least(F.col("own"), k) * F.col("chunks") + F.greatest(F.col("own"), k)
-    cells = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("band", pair(F.col("other")).alias("pair"), "key", "fp")
-    dealt = cells.repartition("band", "pair", "key").sortWithinPartitions("band", "pair", "key")
+    dealt = _dealt(_met(bands), chunk).select("band", "pair", "key", "fp").repartition("band", "pair", "key").sortWithinPartitions("band", "pair", "key")
     return dealt.mapInArrow(_links(most), "a long, b long")
 
 
+def _met(bands: DataFrame) -> DataFrame:
+    """bands (fp, band, key, ...) of buckets that hold more than one row, with the bucket's size n."""
+    return bands.join(bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), ["band", "key"])
+
+
+def _dealt(met: DataFrame, chunk: int) -> DataFrame:
+    """A row for each cell (band, pair, key) that a row of a bucket goes to: its chunk with every chunk."""
+    met = met.withColumn("chunks", F.ceil(F.col("n") / chunk)).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")))
+    pair = lambda k: F.least(F.col("chunk"), k) * F.col("chunks") + F.greatest(F.col("chunk"), k)
+    return met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumn("pair", pair(F.col("other")))
+
+
+def link_alike(bands: DataFrame, sets: DataFrame, *, alike: float, most: int = 24, chunk: int = 512) -> DataFrame:
+    """Links (a, b) that connect sets at a similarity of alike or more. bands: fp (the set), bits (its fingerprint), band, key, n; sets: fp, own."""
+    dealt = _dealt(bands, chunk).join(sets, "fp").select("band", "pair", "key", "fp", "bits", "own")
+    dealt = dealt.repartition("band", "pair", "key").sortWithinPartitions("band", "pair", "key")
+    return dealt.mapInArrow(_alike_links(most, alike), "a long, b long")
+
+
 def fingerprints(docs: DataFrame, *ids: str | Column, width: int = 3) -> DataFrame:
     """The columns ids of docs, and fp: the fingerprint of text as a signed number."""
     own = docs.select(*ids, "text")
@@ -147,7 +256,12 @@ def fingerprints(docs: DataFrame, *ids: str | Column, width: int = 3) -> DataFra
 def cluster(prints: DataFrame, *, most: int = 3, blocks: int = 6, chunk: int = 512) -> DataFrame:
     """prints: doc_id, fp, written to the shared folder. Per distinct fp: fp, component_id."""
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    parts = materialize(components(link(distinct, most=most, blocks=blocks, chunk=chunk)), "parts")
+    return _named(distinct, link(distinct, most=most, blocks=blocks, chunk=chunk))
+
+
+def _named(distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """distinct: fp, first. fp and component_id, the least first of what links connect."""
+    parts = materialize(components(links), "parts")
     linked = parts.join(distinct, parts["node"] == distinct["fp"]).select("fp", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("component"))
     linked = linked.join(least, "root").select("fp", F.col("component"))
@@ -161,12 +275,31 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, most: int = 3, blocks: i
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **options: int) -> DataFrame:
-    """docs with one row of each component: the least doc_id (null last), of its rows the least hash of the text."""
+def cluster_alike(docs: DataFrame, prints: DataFrame, ids: list[str], *, width: int, alike: float, most: int = 24, chunk: int = 512) -> DataFrame:
+    """Per distinct set of shingles (fp of prints): fp, component_id. ids name the columns that docs and prints share; docs has text, too."""
+    one = F.min(F.struct(*ids)).alias("one")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("bits").alias("bits"), one, F.first("keys").alias("keys")), "distinct")
+    bands = distinct.select("fp", "bits", "one", F.posexplode("keys").alias("band", "key"))
+    met = materialize(_met(bands.withColumn("band", F.col("band").cast("long"))), "met")
+    wanted = met.select("fp", "one.*").distinct()
+    texts = docs.select(*ids, "text").join(wanted, ids).dropDuplicates(["fp"]).select("fp", "text")
+    sets = materialize(texts.mapInArrow(_sets(width), "fp long, own binary"), "sets")
+    return _named(distinct.select("fp", "first"), link_alike(met.drop("one"), sets, alike=alike, most=most, chunk=chunk))
+
+
+def keep_one(docs: DataFrame, *, width: int = 3, alike: float | None = None, **options: int) -> DataFrame:
+    """docs with one row of each component: the least doc_id (null last), of its rows the least hash of the text. With alike, components
+    are of texts whose shingles have that similarity; without, of near fingerprints."""
     k, h, fp = (f"__{x}_{len(docs.columns)}" for x in ("id", "hash", "fp"))
     keyed = docs.withColumn(k, F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn(h, F.xxhash64("text"))
-    prints = materialize(fingerprints(keyed, "doc_id", F.col(k), F.col(h)), "prints")
-    found = prints.join(cluster(prints, **options), "fp")
+    if alike is None:
+        prints = materialize(fingerprints(keyed, "doc_id", F.col(k), F.col(h), width=width), "prints")
+        found = prints.join(cluster(prints, **options), "fp")
+    else:
+        doc_id = docs.schema["doc_id"].dataType.simpleString()
+        made = keyed.select("doc_id", k, h, "text").mapInArrow(_sketches(width), f"doc_id {doc_id}, {k} string, {h} long, fp long, bits long, keys array<long>")
+        prints = materialize(made, "prints")
+        found = prints.drop("bits", "keys").join(cluster_alike(keyed, prints, [k, h], width=width, alike=alike, **options), "fp")
     # Of a component without any doc_id, component_id is null: such rows stand for themselves by their fingerprint.
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), "fp"))
     won = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(k), F.col(h))).alias("w")).select(f"w.{k}", f"w.{h}")

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
-from loomspan.llm import queries
+from loomspan.llm import queries, simhash
 
 
 def test_stages_keep_columns_and_clean_documents(spark, tmp_path):
@@ -29,5 +31,39 @@ def test_stages_keep_columns_and_clean_documents(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids[4]
 
 
+def test_dedup_stage_keeps_one_of_texts_at_0_8(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(500)) for _ in range(rng.randrange(40, 200))) for _ in range(40)]
+    for t in texts[:30]:
+        words = t.split()
+        for _ in range(rng.randrange(1, 6)):  # each change touches five shingles
+            words[rng.randrange(len(words))] = "changed"
+        texts.append(" ".join(words))
+    texts += [texts[0], "  ".join(texts[1].upper().split()), "", " ", None, "one two", "One  two"]
+    texts += ["the same long line in every text " * 3 + " ".join(str(rng.random()) for _ in range(40)) for _ in range(20)]
+
+    def shingles(t):
+        ws = (t or "").lower().split()
+        return {" ".join(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))} if ws else set()
+
+    sets, group = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        return x if group[x] == x else find(group[x])
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((find(a), find(b)))
+                group[high] = low
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = {find(k) for k in range(len(texts))}
+    assert 50 < len(want) < len(texts) - 15
+    assert {r.doc_id for r in corpus_pipeline.dedup_stage(spark, docs, "").collect()} == want
+    small = simhash.keep_one(docs, width=5, most=24, alike=0.8, chunk=2)  # buckets dealt in chunks
+    assert sorted(r.doc_id for r in small.collect()) == sorted(want)
+    assert corpus_pipeline.dedup_stage(spark, docs.limit(0), "").count() == 0
+
+
 def test_every_operator_is_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
