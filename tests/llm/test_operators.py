@@ -106,6 +106,16 @@ def test_personal_data(spark, docs, none):
     assert all(x in text for x in ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "10.0.0.256", "4111-1111-1111-1112")) and not any(x in text for x in ("ex-a", "10.0.0.255", "4111 1111", "555-0100"))
 
 
+@pytest.mark.parametrize("sep", [" ", "-", ""])
+def test_cards_with_a_separator_after_every_digit(spark, sep):
+    card = sep.join("4111111111111111")
+    df = spark.createDataFrame([(1, f"pay with {card} now")], "doc_id long, text string")
+    got = pii.report(df).first()
+    assert got.n_card == 1 and got.spans == f"card:9:{9 + len(card)}"
+    assert got.base_sha256 == hashlib.sha256(got.spans.encode()).hexdigest()
+    assert pii.redact(df).first().text == "pay with [CARD] now"
+
+
 def test_terms_that_give_an_entity_away(spark):
     rows_ = [(k, f"word{k} ask zorblax at z@example.org please {prose(5)}") for k in range(6)] + [(k, f"please word{k} {prose(30)}") for k in range(6, 60)]
     df = spark.createDataFrame(rows_, "doc_id long, text string")
