@@ -76,16 +76,37 @@ def chain_closure(parents: DataFrame, node: str = "node", parent: str = "parent"
     return own.unionByName(reached)
 
 
-def propagate(labels: DataFrame, bindings: DataFrame, rounds: int = 200) -> DataFrame:
+def propagate(labels: DataFrame, bindings: DataFrame) -> DataFrame:
     """A fixpoint: labels (node, label) spread along bindings (node takes the label of source) until nothing changes; a node that has a
-    label keeps it, and of several offered in one round it takes the least."""
+    label keeps it, and of several offered in one round it takes the least.
+
+    Where no node has two sources, by pointer doubling: round k looks 2 ** k sources ahead, so a chain of n needs log2(n) joins. Else a
+    round for each binding of the longest way."""
     shared_folder(labels.sparkSession)
     known = labels.groupBy("node").agg(F.min("label").alias("label")).checkpoint()
+    open_ = bindings.select("node", "source").where("node is not null and source is not null").distinct().join(known.select("node"), "node", "left_anti").checkpoint()
+    if open_.groupBy("node").count().where("count > 1").isEmpty():
+        return known.unionByName(_doubled(known, open_))
     fresh = known
-    for _ in range(rounds):
-        offered = bindings.join(fresh.select(F.col("node").alias("source"), "label"), "source").join(known.select("node"), "node", "left_anti")
+    while not fresh.isEmpty():
+        offered = open_.join(fresh.select(F.col("node").alias("source"), "label"), "source").join(known.select("node"), "node", "left_anti")
         fresh = offered.groupBy("node").agg(F.min("label").alias("label")).checkpoint()
-        if fresh.isEmpty():
-            break
         known = known.unionByName(fresh).checkpoint()
     return known
+
+
+def _doubled(known: DataFrame, open_: DataFrame) -> DataFrame:
+    """node, label of what a label reaches along single sources. Nodes leave where their pointer ends, at a label or without one; as long
+    as a way ends anywhere, each round ends some, so that what is left after a round without are cycles."""
+    found, left = known.where("false"), open_.count()
+    while left:
+        here, ends = F.col("l.label"), F.col("o.source")
+        step = open_.alias("n").join(known.alias("l"), F.col("n.source") == F.col("l.node"), "left").join(open_.alias("o"), F.col("n.source") == F.col("o.node"), "left")
+        step = step.select(F.col("n.node").alias("node"), F.col("l.node").isNotNull().alias("done"), here.alias("label"), ends.alias("source")).checkpoint()
+        fresh = step.where("done").select("node", "label")
+        found, known = found.unionByName(fresh), known.unionByName(fresh)
+        open_ = step.where("not done and source is not null").select("node", "source")
+        before, left = left, open_.count()
+        if left == before:
+            break
+    return found

@@ -60,6 +60,20 @@ def test_chain_closure_ends_in_cycles(spark):
     assert got == {("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("b", "b", 0), ("b", "c", 1), ("c", "c", 0), ("x", "x", 0), ("x", "y", 1), ("y", "y", 0), ("y", "x", 1)}
 
 
+def test_labels_spread_to_the_end_of_any_chain(spark):
+    labels = spark.createDataFrame([(0, "b"), (0, "a"), (300, "c"), (900, None)], "node int, label string")
+    chain = [(k, k - 1) for k in range(1, 701)] + [(800, 801), (801, 802), (802, 800), (810, 811), (811, None), (901, 900), (5, 4)]
+    want = {k: "a" if k < 300 else "c" for k in range(701)} | {900: None, 901: None}
+    got = graph.propagate(labels, spark.createDataFrame(chain, "node int, source int")).collect()
+    assert len(got) == len(want) and {r.node: r.label for r in got} == want
+
+
+def test_labels_of_several_sources(spark):
+    labels = spark.createDataFrame([("a", "2"), ("b", "1"), ("c", "0")], "node string, label string")
+    bindings = spark.createDataFrame([("x", "a"), ("x", "b"), ("y", "x"), ("y", "c"), ("a", "c"), ("z", "y"), ("y", "z"), ("p", "q"), ("q", "p")], "node string, source string")
+    assert {(r.node, r.label) for r in graph.propagate(labels, bindings).collect()} == {("a", "2"), ("b", "1"), ("c", "0"), ("x", "1"), ("y", "0"), ("z", "0")}
+
+
 def test_names(spark):
     df = spark.createDataFrame([("Promise<Promise<A<b>>>",), ("B[]",), ("C<D>",), (" E ",)], "raw string")
     assert [r[0] for r in df.select(strip_generics(F.col("raw"))).collect()] == ["A", "B[]", "C", "E"]
