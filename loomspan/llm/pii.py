@@ -3,11 +3,12 @@
 Base spans are matches of the patterns below that pass their check; a match that fails it is dropped and not tried again. Places are code
 points: a text's parts between matches and the matches themselves, in turn, have lengths that add up to them.
 
-A base match's kind and value are a protected entity. Terms are words of three or more letters that lie whole within `window`
-characters of a match. Over all documents, n(e,t) documents have term t near entity e, n(t) have t anywhere, n(e) have e; of N,
-the pointwise mutual information log2(N n(e,t) / (n(e) n(t))) says how many of the log2(N / n(e)) bits that tell e from others
-are told by t. A term that tells a share of `disclosure` or more of them, in `support` or more different texts, gives the
-entity away: near it, the term is a span of kind "term". Where n(e,t) / n(t) is `certain` or more it is removed, else generalised.
+A base match's kind and value (of cards and phones the digits) are a protected entity. Terms are words of three or more letters, anywhere
+in a text. Over all documents, n(e,t) documents have both term t and entity e, n(t) have t, n(e) have e; of N, the pointwise mutual
+information log2(N n(e,t) / (n(e) n(t))) says how many of the log2(N / n(e)) bits that tell e from others are told by t. A term that
+tells a share of `disclosure` or more of them, in `support` or more different texts, gives the entity away: wherever it occurs in a
+document that holds the entity, outside base spans, it is a span of kind "term". Where n(e,t) / n(t) is `certain` or more it is removed, else generalised.
+An entity of fewer than `support` different texts has no such term, whatever it occurs with.
 
 Defined results: a null text is empty; repeated rows get a row each and count each, but not towards support; an empty table gives
 no rows; other columns are ignored, and kept by redact().
@@ -15,7 +16,7 @@ no rows; other columns are ignored, and kept by redact().
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import let, materialize, named, with_struct
@@ -50,9 +51,8 @@ def _valid(kind: str, value: Column) -> Column:
     return F.length(digits).between(8, 15)
 
 
-def _matches(t: Column, pattern: str, context: int = 0) -> Column:
-    """All matches as (start, end, value), and with context also what is before and after each, up to so many characters."""
-    kind = _SPAN if not context else _SPAN[:-1] + ",before:string,after:string>"
+def _matches(t: Column, pattern: str) -> Column:
+    """All matches as (start, end, value)."""
     found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
 
     def placed(values: Column) -> Column:
@@ -60,75 +60,88 @@ def _matches(t: Column, pattern: str, context: int = 0) -> Column:
             def step(a: Column, x: Column) -> Column:
                 start = a["at"] + F.length(x["part"])
                 end = start + F.length(x["value"])
-                more = {"before": F.right(x["part"], F.lit(context)), "after": F.left(x["next"], F.lit(context))} if context else {}
-                return named(at=end, out=F.concat(a["out"], F.array(named(start=start, end=end, value=x["value"], **more))))
+                return named(at=end, out=F.concat(a["out"], F.array(named(start=start, end=end, value=x["value"]))))
 
-            n = F.size(values)
-            zipped = F.arrays_zip(F.slice(parts, 1, n).alias("part"), values.alias("value"), F.slice(parts, 2, n).alias("next"))
-            zero = named(at=F.lit(0), out=F.array().cast(f"array<{kind}>"))
+            zipped = F.arrays_zip(F.slice(parts, 1, F.size(values)).alias("part"), values.alias("value"))
+            zero = named(at=F.lit(0), out=F.array().cast(f"array<{_SPAN}>"))
             return F.aggregate(zipped, zero, step, lambda a: a["out"])
 
-        return F.when(F.size(values) > 0, let(F.split(t, pattern, -1), of)).otherwise(F.array().cast(f"array<{kind}>"))
+        return F.when(F.size(values) > 0, let(F.split(t, pattern, -1), of)).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
     return let(found, placed)
 
 
-def _base(t: Column, context: int) -> dict[str, Column]:
-    kind = _SPAN[:-1] + ",before:string,after:string>"
-    none = F.array().cast(f"array<{kind}>")
+def _base(t: Column) -> dict[str, Column]:
+    none = F.array().cast(f"array<{_SPAN}>")
 
     def of(k: str, p: str) -> Column:
-        return F.when(_may_have(k, t), F.filter(_matches(t, p, context), lambda x: _valid(k, x["value"]))).otherwise(none)
+        return F.when(_may_have(k, t), F.filter(_matches(t, p), lambda x: _valid(k, x["value"]))).otherwise(none)
 
     return {k: of(k, p) for k, p in PATTERNS.items()}
 
 
-def _terms(kind: str, spans: Column, window: int) -> Column:
-    """(entity, term, start, end) for each term near a span; words that the window cuts are left out."""
+def _words(t: str) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(TERM), F.lit(0)), F.lower))
 
-    def near(x: Column) -> Column:
-        entity = F.concat(F.lit(f"{kind}:"), F.lower(x["value"]))
 
-        def side(text: Column, at: Column, left: bool) -> Column:
-            whole = F.length(text) < window
-            own = F.filter(_matches(text, TERM), lambda y: whole | (y["start"] > 0 if left else y["end"] < window))
-            return F.transform(own, lambda y: named(entity=entity, term=F.lower(y["value"]), start=at + y["start"], end=at + y["end"]))
+def _common(found: DataFrame, support: int) -> DataFrame:
+    """entity, n_e of entities in support or more different texts."""
+    entities = F.array_distinct(F.concat(*(_entities(k) for k in PATTERNS)))
+    by_text = found.select("h", F.explode(entities).alias("entity")).groupBy("entity", "h").agg(F.count("*").alias("n"))
+    return by_text.groupBy("entity").agg(F.count("*").alias("texts"), F.sum("n").alias("n_e")).where(F.col("texts") >= support).drop("texts")
+
 
-        return F.concat(side(x["before"], x["start"] - F.length(x["before"]), True), side(x["after"], x["end"], False))
+def _holders(found: DataFrame, entities: DataFrame, salts: int = 16) -> DataFrame:
+    """Rows of found (doc_id, h, held) for each of the entities they hold, with the columns of entities; hot entities are dealt by a salt."""
+    own = F.array_distinct(F.concat(*(_entities(k) for k in PATTERNS)))
+    rows = found.where("held is not null").select("doc_id", "h", "held", F.explode(own).alias("entity"), F.pmod("h", F.lit(salts)).alias("salt"))
+    dealt = entities.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return rows.join(dealt, ["entity", "salt"]).drop("salt")
 
-    return F.flatten(F.transform(spans, near))
+
+def _places(found: DataFrame, told: DataFrame) -> DataFrame:
+    """doc_id, h, terms: where the terms told (doc_id, h, term, removed) occur outside base spans. A row a word, as texts may be long."""
+    key = ["doc_id", "h"]
+    every = F.concat(*(F.transform(k, lambda x: named(a=x["start"], b=x["end"])) for k in PATTERNS))
+    some = told.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct()
+    texts = found.where("held is not null").select(*key, "held", every.alias("base")).dropDuplicates(key)
+    texts = texts.join(some, (texts["h"] == some["_h"]) & texts["doc_id"].eqNullSafe(some["_d"]), "left_semi")
+    values = F.regexp_extract_all("held", F.lit(TERM), F.lit(0))
+    zipped = let(values, lambda v: F.arrays_zip(F.slice(F.split("held", TERM, -1), 1, F.size(v)).alias("part"), v.alias("value")))
+    words = texts.select(*key, "base", F.posexplode(zipped).alias("at", "x")).select(*key, "base", "at", F.length("x.part").alias("gap"), F.length("x.value").alias("n"), F.lower("x.value").alias("word"))
+    before = Window.partitionBy(*key).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    words = words.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(before).cast("int")).withColumn("start", F.col("end") - F.col("n"))
+    free = ~F.exists("base", lambda b: (b["a"] < F.col("end")) & (F.col("start") < b["b"]))
+    marks = told.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("term").alias("word"), "removed")
+    on = (words["h"] == marks["_h"]) & (words["word"] == marks["word"]) & words["doc_id"].eqNullSafe(marks["_d"])
+    spans = words.where(free).join(marks, on).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
+    return spans
 
 
-def find(docs: DataFrame, *, window: int = 48, support: int = 3, disclosure: float = 0.9, certain: float = 0.9) -> tuple[DataFrame, DataFrame]:
-    """(one row per row of docs: doc_id, h (hash of the text), a column of base spans (start, end, value) for each kind;
-    for each doc_id and h with any: terms (start, end, removed), terms that touch no base span)."""
+def find(docs: DataFrame, *, support: int = 3, disclosure: float = 0.9, certain: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """(one row per row of docs: doc_id, h (hash of the text), a column of base spans (start, end, value) for each kind, held (the text,
+    if it has any); for each doc_id and h with any: terms (start, end, removed), terms that touch no base span)."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    n_terms = texts.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    staged = with_struct(texts.select("doc_id", F.xxhash64("text").alias("h"), "text"), let(F.col("text"), lambda t: F.struct(*(v.alias(f"x_{k}") for k, v in _base(t, window).items()))))
-    plain = [F.transform(f"x_{k}", lambda x: named(start=x["start"], end=x["end"], value=x["value"])).alias(k) for k in PATTERNS]
-    near = F.concat(*(_terms(k, F.col(f"x_{k}"), window) for k in PATTERNS))
-    found = materialize(staged.select("doc_id", "h", *plain, near.alias("near")), "found")
+    n_terms = texts.select(F.explode(_words("text")).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    staged = with_struct(texts.select("doc_id", F.xxhash64("text").alias("h"), "text"), let(F.col("text"), lambda t: F.struct(*(v.alias(k) for k, v in _base(t).items()))))
+    held = F.when(sum((F.size(k) for k in PATTERNS), F.lit(0)) > 0, F.col("text")).alias("held")
+    found = materialize(staged.select("doc_id", "h", *PATTERNS, held), "found")
     n = F.lit(float(found.count()))
-    entities = F.array_distinct(F.concat(*(_entities(k) for k in PATTERNS)))
-    n_entities = found.select(F.explode(entities).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    pair = F.array_distinct(F.transform("near", lambda x: named(entity=x["entity"], term=x["term"])))
-    pairs = found.select("h", F.inline(pair)).groupBy("entity", "term", "h").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("n").alias("n_et")).where(F.col("texts") >= support)
-    pairs = materialize(pairs, "pairs")
-    judged = pairs.join(n_entities, "entity").join(n_terms, "term")
+    entities = materialize(_common(found, support), "entities")
+    by_text = _holders(found, entities).select("h", "entity", F.explode(_words("held")).alias("term")).groupBy("entity", "term", "h").agg(F.count("*").alias("n"))
+    pairs = by_text.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("n").alias("n_et")).where(F.col("texts") >= support)
+    judged = materialize(pairs, "pairs").join(entities, "entity").join(n_terms, "term")
     told = F.log2(n * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     gives_away = judged.where((told >= disclosure * F.log2(n / F.col("n_e"))) & (told > 0)).select("entity", "term", (F.col("n_et") / F.col("n_t") >= certain).alias("removed"))
-    gives_away = materialize(gives_away, "terms")
-    every = F.concat(*(F.transform(k, lambda x: named(a=x["start"], b=x["end"])) for k in PATTERNS))
-    occurs = found.where(F.size("near") > 0).select("doc_id", "h", every.alias("base"), F.inline("near"))
-    free = ~F.exists("base", lambda b: (b["a"] < F.col("end")) & (F.col("start") < b["b"]))
-    terms = occurs.where(free).drop("base").join(gives_away, ["entity", "term"]).groupBy("doc_id", "h", "start", "end").agg(F.max("removed").alias("removed"))
-    terms = terms.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
-    return found.drop("near"), terms
+    by_entity = materialize(gives_away, "terms").groupBy("entity").agg(F.collect_list(F.struct("term", "removed")).alias("told"))
+    marked = _holders(found, by_entity).select("doc_id", "h", F.inline("told")).groupBy("doc_id", "h", "term").agg(F.max("removed").alias("removed"))
+    return found.drop("held"), _places(found, materialize(marked, "marked"))
 
 
 def _entities(kind: str) -> Column:
-    return F.transform(kind, lambda x: F.concat(F.lit(f"{kind}:"), F.lower(x["value"])))
+    plain = (lambda v: F.regexp_replace(v, "[^0-9]", "")) if kind in ("card", "phone") else F.lower
+    return F.transform(kind, lambda x: F.concat(F.lit(f"{kind}:"), plain(x["value"])))
 
 
 def _tagged(kind: str) -> Column:

@@ -126,6 +126,22 @@ def test_terms_that_give_an_entity_away(spark):
     assert "zorblax" not in pii.redact(df).where("doc_id = 0").first().text
 
 
+def test_terms_count_and_are_marked_in_the_whole_document(spark):
+    far = "Then a sentence follows that is longer than any window around the match would be. "
+    numbers = ["+1 212 555 0100", "+1 (212) 555-0100", "+1-212-555-0100"]
+    texts = [f"Word{k} Quuxly came. {far * k}{prose(4)} Call {numbers[k]} now. {far}And quuxly 😀 left, quuxlyx." for k in range(3)]
+    texts += [f"{far}{prose(30)} Call me now." for _ in range(30)] + [None]
+    ids = [1, None, 3, *range(4, 35)]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.report(df).collect()}
+    for i, t in list(zip(ids, texts, strict=True))[:3]:
+        at = [m.start() for m in re.finditer(r"(?i)\bquuxly\b", t)]
+        assert len(at) == 2 and {f"term:{a}:{a + 6}" for a in at} <= set(got[i].spans.split(","))
+        assert f"term:{t.index('Then a')}:" not in got[i].spans and f"term:{t.index('Word')}:" not in got[i].spans
+    assert not any(got[i].spans for i in ids[3:])
+    assert not any(re.search(r"(?i)\bquuxly\b|555", r.text or "") for r in pii.redact(df).collect())
+
+
 def test_simhash(spark, docs, none):
     def plain(t):
         ws = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
