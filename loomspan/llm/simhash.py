@@ -13,7 +13,7 @@ that hangs together, not its pairs; a bucket over `chunk` is dealt in chunks, an
 keep_one(alike=...) links by the texts themselves: two are linked if the Jaccard similarity of their sets of shingles is `alike` or more.
 Fingerprints at that similarity are too far apart for blocks of bits (about 10 bits at 0.8), so buckets are BANDS bands of ROWS least
 hashes of the set; in a bucket the pivots and the distance `most` leave candidates, and the sets of shingles decide. At a similarity of 0.8
-a pair has no common bucket with probability 4e-6 ((1 - 0.8 ** ROWS) ** BANDS), less above it. Texts of equal sets are one node.
+a pair has no common bucket with probability 3e-6 ((1 - 0.8 ** ROWS) ** BANDS), less above it. Texts of equal sets are one node.
 
 Defined results: a null, empty or blank text has fingerprint zero and is linked like any other; repeated rows get a row each; a component's
 id is its least doc_id (null if it has none); an empty table gives no rows; other columns are ignored.
