@@ -58,7 +58,7 @@ def _open(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame]:
     if a.rebuild:
         if not a.tsconfig:
             raise ValueError("--rebuild needs --tsconfig")
-        tables = index.resolved(facts.build(now, index.resolver(a.root, a.tsconfig)))
+        tables = index.resolved(facts.build(now, index.resolver(spark, a.root, a.tsconfig), index.known(spark, a.root)))
         for r in tables["warnings"].orderBy("warning").collect():
             print(r.warning, file=sys.stderr)
         return tables
@@ -103,13 +103,13 @@ def run(spark: SparkSession, argv: list[str]) -> int:
             print(out)
         elif a.command == "index":
             path = a.output or default_store(a.root)
-            r = index.index_pass(spark, files.scan(spark, a.root), path, index.resolver(a.root, a.tsconfig), always=True)
+            r = index.index_pass(spark, files.scan(spark, a.root), path, index.resolver(spark, a.root, a.tsconfig), always=True, known=index.known(spark, a.root))
             print(f"indexed {r.counts['symbols']} symbols, {r.counts['calls']} calls, {r.counts['imports']} imports → {path}\nfiles: {r}")
         else:
             from .streaming.watch import watch
 
             path = a.db or default_store(a.root)
-            query = watch(spark, a.root, path, index.resolver(a.root, a.tsconfig), path + "-stream", interval_ms=a.debounce_ms, tell=lambda r: print(f"indexed: {r}", flush=True))
+            query = watch(spark, a.root, path, None, path + "-stream", interval_ms=a.debounce_ms, tell=lambda r: print(f"indexed: {r}", flush=True), tsconfig=a.tsconfig)
             try:
                 query.awaitTermination()
             except KeyboardInterrupt:

@@ -5,6 +5,7 @@ function types and type arguments are no code. What isn't understood gives no fa
 
 from __future__ import annotations
 
+import bisect
 from typing import Any
 
 from .lexer import Tokens
@@ -32,6 +33,7 @@ class Scanner:
         self.locals: list[Fact] = []
         self.returns: list[Fact] = []
         self.bound: dict[int, tuple[str, int, int]] = {}  # arrow's first token -> name, start, first token of the value
+        self.closes: dict[int, int] = {}  # a > after which a bracket opened -> its <, or -1
         for i in range(self.n):
             if i not in self.types:
                 self._at(i)
@@ -389,7 +391,9 @@ class Scanner:
         whole = self.at(j) == "type" and self.at(j + 1) not in ("from", ",", "=") or self.at(j) == "type" and self.at(j + 1) == "from" and self.at(j + 2) == "from"
         j += whole
         if self.is_id(j) and self.at(j) != "from" or self.at(j) == "from" and self.at(j + 1) in ("from", ","):
-            if self.at(j + 1) == "=":
+            if self.at(j + 1) == "=":  # import x = require("y") is no call
+                if self.at(j + 2) == "require" and self.at(j + 3) == "(" and self.match[j + 3] > 0:
+                    self.types.update(range(i, self.match[j + 3] + 1))
                 return
             found.append({"local_name": self.name(j), "remote_name": "default", "is_type_only": whole})
             j += 1 + (self.at(j + 1) == ",")
@@ -541,7 +545,8 @@ class Scanner:
                 if before == "new" or self.is_id(j - 1) and self.at(j - 2) == "new":
                     return j
             elif not (self.is_id(j) and (self.at(j) not in _CONTROL or self.at(j - 1) in (".", "?.") or self.at(j) == "import")):
-                return -1
+                literal = 0 <= j < i - 1 and self.t.kind[j] in ("str", "num", "re")
+                return j if literal else -1
             if self.at(j - 1) in (".", "?."):
                 j -= 2
                 continue
@@ -550,17 +555,28 @@ class Scanner:
             return j
 
     def _angle_back(self, i: int) -> int:
-        """The < that the > at token i closes, if it follows a name: type arguments of a call."""
+        """The < that the > at token i closes, if it follows a name: type arguments of a call. What was found for an earlier > is kept,
+        so that no token is passed twice."""
+        if i not in self.closes:
+            self.closes[i] = self._opened(i)
+        j = self.closes[i]
+        return j if j >= 0 and self.is_id(j - 1) else -1
+
+    def _opened(self, i: int) -> int:
         depth, j = 0, i
-        while j > 0 and i - j < 200:
+        while j > 0:
             c = self.x[j]
-            if c == ">":
+            if j < i and j in self.closes:
+                if self.closes[j] < 0:
+                    return -1
+                j = self.closes[j]
+            elif c == ">":
                 depth += 1
             elif c == "<":
                 depth -= 1
                 if depth == 0:
-                    return j if self.is_id(j - 1) else -1
-            elif c in (")", "]", "}") and self.match[j] >= 0:
+                    return j
+            elif c in (")", "]", "}", "`)") and self.match[j] >= 0:
                 j = self.match[j]
             elif not (self.is_id(j) or self.t.kind[j] in ("str", "num") or c in (",", ".", "|", "&", "[", "]", "=>", "?", ":")):
                 return -1
@@ -608,7 +624,9 @@ class Scanner:
     def _at(self, i: int) -> None:
         c, before = self.x[i], self.at(i - 1)
         if self.t.kind[i] == "p":
-            if c == "(" and i not in self.heads:
+            if c == "`(" and self.t.s[self.t.start[i]] == "`":  # a tagged template
+                self._call(i)
+            elif c == "(" and i not in self.heads:
                 to = self.arrow_at(i)
                 if to > 0 and before != "async" and not (before == ">"):
                     self._arrow(i, to)
@@ -684,9 +702,20 @@ def scan(source: bytes, path: str) -> dict[str, Any]:
     def symbol(kind: str, f: Fact, **more: Any) -> Fact:
         return none | {"id": f"{path}#{f['start']}", "kind": kind, "name": f["name"], "file": path, "start_byte": f["start"], "end_byte": f["end"], "is_default_export": f["name"] in s.defaults} | more
 
+    outer, stack = [], []  # of each function the one around it
+    for k, f in enumerate(functions):
+        while stack and functions[stack[-1]]["end"] < f["end"]:
+            stack.pop()
+        outer.append(stack[-1] if stack else -1)
+        stack.append(k)
+    starts = [f["start"] for f in functions]
+
     def owner(a: int, b: int) -> Fact | None:
-        held = [f for f in functions if f["start"] <= a and b <= f["end"]]
-        return min(held, key=lambda f: (f["end"] - f["start"], f["start"])) if held else None
+        """The innermost function that holds the range."""
+        k = bisect.bisect_right(starts, a) - 1
+        while k >= 0 and functions[k]["end"] < b:
+            k = outer[k]
+        return functions[k] if k >= 0 else None
 
     inferred: dict[int, Fact] = {}
     by_owner: dict[int, list[Fact]] = {}

@@ -6,12 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_BLANK = " \t\n\r\x0b\x0c"
+
+
 def strip_generics(raw: Column) -> Column:
-    """Promises unwrapped, then cut before the first type argument; arrays keep their brackets."""
-    inner = F.regexp_replace(F.trim(raw), r"^(?:Promise<\s*)+", "")
-    promised = F.trim(raw).startswith("Promise<")
-    closed = F.when(promised, F.regexp_replace(inner, r"[>\s]+$", "")).otherwise(inner)
-    return F.trim(F.regexp_extract(closed, r"^[^<]*", 0))
+    """Promises unwrapped as long as one is the whole type, then cut before the first type argument; arrays keep their brackets."""
+    text = F.btrim(raw, F.lit(_BLANK))
+    wrapped = F.length(F.regexp_extract(text, r"^(?:Promise<\s*)+", 0))
+
+    def peeled(x: Column, _: Column) -> Column:
+        whole = x.startswith("Promise<") & x.endswith(">")
+        return F.when(whole, F.btrim(F.substring(x, F.lit(9), F.length(x) - 9), F.lit(_BLANK))).otherwise(x)
+
+    inner = F.when(wrapped > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(wrapped, F.lit(1))), text, peeled)).otherwise(text)
+    return F.btrim(F.substring_index(inner, "<", 1), F.lit(_BLANK))
 
 
 def clean_path(path: str) -> str:

@@ -54,7 +54,7 @@ def reach(edges: DataFrame, seeds: Sequence[str], depth: int, cap: int = 50, ext
     return out
 
 
-def chain_closure(parents: DataFrame, node: str = "node", parent: str = "parent", rounds: int = 40) -> DataFrame:
+def chain_closure(parents: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
     """node, ancestor, depth: every ancestor on single-parent chains, itself at depth 0; a cycle ends where it would repeat.
 
     Pointer doubling: round k reaches 2 ** k further, so a chain of n needs log2(n) joins."""
@@ -65,7 +65,7 @@ def chain_closure(parents: DataFrame, node: str = "node", parent: str = "parent"
     own = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
     reached, step = one, 1
     before = -1
-    for _ in range(rounds):
+    while True:
         top = reached.where(F.col("depth") == step).select(F.col("node").alias("_n"), F.col("ancestor").alias("node"))
         more = top.join(reached, "node").select(F.col("_n").alias("node"), "ancestor", (F.col("depth") + step).alias("depth"))
         reached = reached.unionByName(more).where("node != ancestor").groupBy("node", "ancestor").agg(F.min("depth").alias("depth")).checkpoint()

@@ -96,7 +96,7 @@ def jsonc_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "id int, raw string").select("id", jsonc.translated(F.col("raw")).alias("json"))
 
 
-@query("path", None)
+@query("path", [(x,) for x in ("src/main.ts", "src/depot.ts", "src/crate.ts", "src/shapes.ts", "src/barrel.ts", "src/text.ts")])
 def stream_index_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixture as files, brought into a store by a stream that runs once; the paths in the store."""
     from ..streaming.watch import watch

@@ -5,6 +5,7 @@ driver."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -124,45 +125,70 @@ def _entries(found: list[tuple[str, int]], symbols: DataFrame, target: str, link
     return sorted(out, key=lambda e: (e.depth, e.symbol["id"]))
 
 
-def _chains(facts: Facts, target: dict[str, Any], files: list[str], limit: int = 32) -> list[Chain]:
-    """For each file the first import, in source order, that leads to the target, over re-exports of any kind."""
+def _exports(facts: Facts, files: set[str]) -> dict[str, list[dict[str, Any]]]:
+    """Re-exports, in source order, of files and of all that these lead to; a query a hop."""
+    found: dict[str, list[dict[str, Any]]] = {}
+    while files:
+        found |= {f: [] for f in files}
+        for r in _dicts(facts.re_exports.where(F.col("file").isin(sorted(files)) & (F.col("resolved") != "")).orderBy("file", "start_byte").collect()):
+            found[r["file"]].append(r)
+        files = {x["resolved"] for f in files for x in found[f]} - set(found)
+    return found
+
+
+def _trail(exports: dict[str, list[dict[str, Any]]], file: str, name: str, target: dict[str, Any]) -> list[dict[str, Any]] | None:
+    """The statements of the first way, in depth and in source order, from file's name to the target; None if there is none."""
+    names = {target["name"], "default"} if target["is_default_export"] else {target["name"]}
+    seen: set[tuple[str, str]] = set()
+    way: list[dict[str, Any]] = []
+
+    def steps(at: str, own: str) -> Iterator[tuple[dict[str, Any], str]]:
+        for x in exports.get(at, []):
+            if x["bindings"]:
+                remote = next((b["remote_name"] for b in x["bindings"] if b["local_name"] == own), None)
+            else:
+                remote = None if x["namespace"] else own
+            if remote is not None:
+                yield x, remote
+
+    open_ = [iter([({"resolved": file}, name)])]
+    while open_:
+        hop = next(open_[-1], None)
+        if hop is None:
+            open_.pop()
+            if way:
+                way.pop()
+            continue
+        at, own = hop[0]["resolved"], hop[1]
+        if (at, own) in seen:
+            continue
+        seen.add((at, own))
+        way.append(hop[0])
+        if at != target["file"]:
+            open_.append(steps(at, own))
+        elif own in names:
+            return [{"file": x["file"], "start_byte": x["start_byte"], "end_byte": x["end_byte"]} for x in way[1:]]
+        else:
+            way.pop()
+    return None
+
+
+def _chains(facts: Facts, target: dict[str, Any], files: list[str]) -> list[Chain]:
+    """For each file the first import, in source order, that leads to the target, over re-exports of any kind; of an import its names come
+    before its namespace."""
     if not files:
         return []
-    goal = target["file"]
-    default = bool(target["is_default_export"])
-    steps: dict[str, list[dict[str, Any]]] = {}
-
-    def exports(file: str) -> list[dict[str, Any]]:
-        if file not in steps:
-            steps[file] = _dicts(facts.re_exports.where(F.col("file") == file).orderBy("start_byte").collect())
-        return steps[file]
-
-    def follow(file: str, name: str, seen: frozenset[tuple[str, str]]) -> list[dict[str, Any]] | None:
-        if file == goal and (name == target["name"] or name == "default" and default):
-            return []
-        if (file, name) in seen or len(seen) > limit:
-            return None
-        for x in exports(file):
-            if not x["resolved"] or x["namespace"]:
-                continue
-            remote = next((b["remote_name"] for b in x["bindings"] if b["local_name"] == name), None) if x["bindings"] else name
-            if remote is not None and (rest := follow(x["resolved"], remote, seen | {(file, name)})) is not None:
-                return [{"file": file, "start_byte": x["start_byte"], "end_byte": x["end_byte"]}, *rest]
-        return None
-
-    out = []
     imports = _dicts(facts.imports.where(F.col("file").isin(files) & (F.col("resolved") != "")).orderBy("file", "start_byte").collect())
-    for file in sorted(files):
-        found = None
-        for x in (x for x in imports if x["file"] == file and found is None):
-            for b in x["identifiers"]:
-                rest = follow(x["resolved"], b["remote_name"], frozenset())
-                if rest is not None:
-                    found = Chain(file, b["local_name"], target["name"], [{"file": file, "start_byte": x["start_byte"], "end_byte": x["end_byte"]}, *rest])
-                    break
-        if found:
-            out.append(found)
-    return out
+    exports = _exports(facts, {x["resolved"] for x in imports})
+    out: dict[str, Chain] = {}
+    for x in imports:
+        asked = [(b["local_name"], b["remote_name"]) for b in x["identifiers"]] + [(x["namespace"], target["name"])] * bool(x["namespace"])
+        for local, remote in asked if x["file"] not in out else []:
+            rest = _trail(exports, x["resolved"], remote, target)
+            if rest is not None:
+                out[x["file"]] = Chain(x["file"], local, target["name"], [{"file": x["file"], "start_byte": x["start_byte"], "end_byte": x["end_byte"]}, *rest])
+                break
+    return [out[f] for f in sorted(out)]
 
 
 def extract(facts: Facts, links: DataFrame, target_id: str, options: Options = Options(), type_refs: DataFrame | None = None) -> Slice:  # noqa: B008

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,27 +31,26 @@ class Result:
         return f"{self.added} added, {self.changed} changed, {self.removed} removed, {self.unchanged} unchanged"
 
 
-def config_reader(root: str) -> Any:
-    def read(path: str) -> str | None:
-        at = Path(root) / path
-        return at.read_text() if at.is_file() else None
-
-    return read
-
-
-def packages(root: str) -> dict[str, dict[str, Any]]:
+def packages(spark: SparkSession, root: str, every: DataFrame | None = None) -> dict[str, dict[str, Any]]:
     """Every package.json under root, by its folder; they are configuration, and few."""
     out = {}
-    for at in Path(root).rglob("package.json"):
+    every = files.listing(spark, root, everything=True) if every is None else every
+    for r in every.where(F.col("path").rlike(r"(^|/)package\.json$")).select("uri", "path").collect():
         try:
-            out[at.parent.relative_to(root).as_posix().removeprefix(".")] = json.loads(at.read_text())
+            out[modules.parent(r.path)] = json.loads(files.read_text(spark, r.uri) or "")
         except ValueError:
             continue
     return out
 
 
-def resolver(root: str, tsconfig: str | None) -> modules.Resolver:
-    return modules.resolver(tsconfig, config_reader(root), packages(root))
+def known(spark: SparkSession, root: str) -> DataFrame:
+    """The paths of all files under root, which imports may name."""
+    return files.listing(spark, root, everything=True).select("path")
+
+
+def resolver(spark: SparkSession, root: str, tsconfig: str | None) -> modules.Resolver:
+    """From the configuration in the tree, whatever file system it is in."""
+    return modules.resolver(tsconfig, lambda path: files.read_text(spark, f"{root.rstrip('/')}/{path}"), packages(spark, root))
 
 
 def resolved(f: Facts) -> dict[str, DataFrame]:
@@ -64,9 +62,9 @@ def resolved(f: Facts) -> dict[str, DataFrame]:
 _PLAIN = ("symbols", "calls", "imports", "re_exports", "local_types", "local_bindings", "inline_returns")
 
 
-def index_pass(spark: SparkSession, now: DataFrame, path: str, by: modules.Resolver, always: bool = False) -> Result:
-    """now: the files (path, content, content_hash, length). Brings the store at path up to them; without a change nothing is saved,
-    unless always."""
+def index_pass(spark: SparkSession, now: DataFrame, path: str, by: modules.Resolver, always: bool = False, known: DataFrame | None = None) -> Result:
+    """now: the files (path, content, content_hash, length); known: paths that imports may name besides. Brings the store at path up to
+    them; without a change nothing is saved, unless always."""
     old = store.load(spark, path)
     before = old["files"] if old else now.limit(0)
     shared_folder(spark)
@@ -80,11 +78,11 @@ def index_pass(spark: SparkSession, now: DataFrame, path: str, by: modules.Resol
     if old:
         stays = status.where("status = 'unchanged'").select(F.col("path").alias("_p"))
         for k in _PLAIN:
-            own = F.split(F.col("symbol_id"), "#")[0] if k == "inline_returns" else F.col("file")
+            own = F.regexp_replace("symbol_id", r"#[^#]*$", "") if k == "inline_returns" else F.col("file")
             kept = old[k].join(stays, own == F.col("_p"), "left_semi")
             tables[k] = tables[k].unionByName(kept.select(*tables[k].columns))
         tables["warnings"] = tables["warnings"].unionByName(old["warnings"].join(stays, F.col("path") == F.col("_p"), "left_semi"))
-    built = resolved(fact_tables.build(now, by, facts=tables))
+    built = resolved(fact_tables.build(now, by, known, facts=tables))
     store.save(spark, path, built)
     got = store.load(spark, path) or {}
     return Result(s.added, s.changed, s.removed, s.unchanged, True, {k: got[k].count() for k in ("symbols", "calls", "imports")})

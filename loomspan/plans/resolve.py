@@ -37,25 +37,25 @@ class Resolution:
 
     # ---- imports
 
-    def _chase(self, starts: DataFrame, limit: int = 24) -> DataFrame:
+    def _chase(self, starts: DataFrame) -> DataFrame:
         """starts: file, name. Along re-exports in source order: the first file and name with a symbol (to_file, to_name). A trail is an
-        array of ordinals, so the least one is what a search in depth would find first."""
+        array of ordinals, so the least one is what a search in depth would find first; of the trails to one place only the least goes on,
+        so that the search ends in cycles and after as many rounds as the longest way has hops."""
         rx = self.facts.re_exports.where("kind != 'type' and resolved != '' and namespace = ''").withColumn("ord", F.row_number().over(Window.partitionBy("file").orderBy("start_byte")))
-        rx = rx.select(F.col("file").alias("r_file"), "resolved", "ord", "bindings").join(self.defaults, F.col("resolved") == F.col("d_file"), "left")
-        front = starts.select("file", "name", F.col("file").alias("at"), F.col("name").alias("as"), F.array().cast("array<int>").alias("trail"), F.array(F.concat_ws("#", "file", "name")).alias("seen"))
-        have = self.named.select("t_file", "t_name").distinct()
-        found = None
-        for _ in range(limit):
+        rx = rx.select(F.col("file").alias("r_file"), "resolved", "ord", "bindings").join(self.defaults, F.col("resolved") == F.col("d_file"), "left").checkpoint()
+        place = ["file", "name", "at", "as"]
+        front = starts.select("file", "name", F.col("file").alias("at"), F.col("name").alias("as"), F.array().cast("array<int>").alias("trail")).checkpoint()
+        have = self.named.select(F.col("t_file").alias("at"), F.col("t_name").alias("as")).distinct().checkpoint()
+        best = front
+        while not front.isEmpty():
             step = front.join(rx, front["at"] == rx["r_file"])
             remote = F.get(F.filter("bindings", lambda b: (b["local_name"] == F.col("as")) & ~b["is_type_only"]), 0)["remote_name"]
             step = step.withColumn("_to", F.when(F.size("bindings") == 0, F.col("as")).when(remote == "default", F.col("d_name")).otherwise(remote)).where("_to is not null")
-            step = step.select("file", "name", F.col("resolved").alias("at"), F.col("_to").alias("as"), F.concat("trail", F.array("ord")).alias("trail"), "seen")
-            step = step.where(~F.array_contains("seen", F.concat_ws("#", "at", "as"))).withColumn("seen", F.concat("seen", F.array(F.concat_ws("#", "at", "as")))).checkpoint()
-            hits = step.join(have, (step["at"] == have["t_file"]) & (step["as"] == have["t_name"])).select("file", "name", "at", "as", "trail")
-            found = hits if found is None else found.union(hits)
-            front = step.join(have, (step["at"] == have["t_file"]) & (step["as"] == have["t_name"]), "left_anti")
-            if front.isEmpty():
-                break
+            step = step.groupBy("file", "name", F.col("resolved").alias("at"), F.col("_to").alias("as")).agg(F.min(F.concat("trail", F.array("ord"))).alias("trail"))
+            step = step.join(best.withColumnRenamed("trail", "_old"), place, "left").where("_old is null or trail < _old").drop("_old").checkpoint()
+            best = best.join(step.select(*place), place, "left_anti").unionByName(step).checkpoint()
+            front = step.join(have, ["at", "as"], "left_anti").select(*place, "trail").checkpoint()
+        found = best.join(have, ["at", "as"])
         return found.groupBy("file", "name").agg(F.min(F.struct("trail", "at", "as")).alias("_b")).select("file", "name", F.col("_b.at").alias("to_file"), F.col("_b.as").alias("to_name"))
 
     def _scopes(self) -> tuple[DataFrame, DataFrame]:
@@ -102,14 +102,15 @@ class Resolution:
         iface = s.where("kind = 'interface'")
         named = cls.select("id", "file", F.explode("implements").alias("name")).unionByName(iface.select("id", "file", F.explode("extends").alias("name")))
         links = self.find(named.select(F.concat_ws("|", "id", "name").alias("ref"), "file", "name").distinct(), "interface").join(named.select("id", F.concat_ws("|", "id", "name").alias("ref")), "ref").select(F.col("id").alias("src"), F.col("target").alias("dst")).distinct().checkpoint()
-        reached = iface.select(F.col("id").alias("node"), F.col("id").alias("iface"), F.lit(0).alias("depth"))
-        front = reached
-        for depth in range(1, 64):
+        reached = iface.select(F.col("id").alias("node"), F.col("id").alias("iface"), F.lit(0).alias("depth")).checkpoint()
+        front, depth = reached, 0
+        while True:
+            depth += 1
             front = front.drop("depth").join(links, front["iface"] == links["src"]).select("node", F.col("dst").alias("iface")).distinct().join(reached, ["node", "iface"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
             if front.isEmpty():
                 break
-            reached = reached.unionByName(front)
-        self.iface_closure = reached.checkpoint()
+            reached = reached.unionByName(front).checkpoint()
+        self.iface_closure = reached
         up = self.chain.join(links, self.chain["ancestor"] == links["src"]).select("class_id", F.col("dst").alias("node")).distinct()
         declares = iface.select(F.col("id").alias("iface"), F.explode("methods").alias("m")).select("iface", F.col("m.name").alias("method")).distinct()
         self.iface_methods = up.join(self.iface_closure, "node").select("class_id", "iface").distinct().join(declares, "iface").select("class_id", "method", F.col("iface").alias("target")).distinct().checkpoint()
@@ -182,7 +183,8 @@ class Resolution:
         """call_id, caller_id, target_id: a call may have several targets, or none."""
         c = self.facts.calls.withColumn("ref", F.col("call_id")).checkpoint()
         spans = self.symbols.where("kind = 'class'").select(F.col("id").alias("class_id"), "file", F.col("start_byte").alias("s"), F.col("end_byte").alias("e"))
-        inside = c.join(spans, "file").where("s <= start_byte and end_byte <= e").groupBy("ref").agg(F.min_by("class_id", F.struct(F.col("e") - F.col("s"), "class_id")).alias("class_id")).checkpoint()
+        asking = c.where("receiver in ('this', 'super') or receiver like 'this.%'").select("ref", "file", "start_byte", "end_byte")
+        inside = asking.join(spans, "file").where("s <= start_byte and end_byte <= e").groupBy("ref").agg(F.min_by("class_id", F.struct(F.col("e") - F.col("s"), "class_id")).alias("class_id")).checkpoint()
         named = self.named
         plain = c.where("receiver = '' and callee != ''")
         here = plain.join(named, (plain["file"] == named["t_file"]) & (plain["callee"] == named["t_name"])).select("ref", "target")

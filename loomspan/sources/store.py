@@ -1,4 +1,5 @@
-"""A project's tables as Parquet. A save writes a new version beside the last and then points to it, so readers never see half of one."""
+"""A project's tables as Parquet. A save writes a new version beside the last and then points to it, so readers never see half of one; the
+last KEEP versions stay, for those that still read them."""
 
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ("files", "symbols", "calls", "imports", "re_exports", "local_types", "local_bindings", "inline_returns", "warnings", "links", "type_refs")
+KEEP = 2
 
 
 def save(spark: SparkSession, path: str, tables: dict[str, DataFrame], root: str = "") -> str:
@@ -18,6 +20,11 @@ def save(spark: SparkSession, path: str, tables: dict[str, DataFrame], root: str
     for name, df in tables.items():
         df.write.parquet(f"{path}/{version}/{name}")
     spark.createDataFrame([(version, root)], "version string, root string").coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    written = sorted(x.getPath().getName() for x in fs.listStatus(top) if x.isDirectory() and x.getPath().getName()[:1].isdigit())
+    for old in written[:-KEEP]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{old}"), True)
     return version
 
 

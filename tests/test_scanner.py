@@ -36,6 +36,16 @@ def symbols(source: str, path: str = "a.ts") -> list[tuple[str, str]]:
         ("// g()\n/* h() */ k();", [("k", "", False)]),
         ("type F = (x: A) => B; go();", [("go", "", False)]),
         ("class A extends B { constructor() { super(1); super.m(); } }", [("", "super", False), ("m", "super", False)]),
+        ("tag`x ${g(1)}`;", [("tag", "", False), ("g", "", False)]),
+        ("a.tag`x`; a.b()`y`;", [("tag", "a", False), ("", "a.b()", False), ("b", "a", False)]),
+        ("const t = `x`; return `y`; f(`z`);", [("f", "", False)]),
+        ("type T = `a${string}`; x as `b${string}`; go();", [("go", "", False)]),
+        ("/a\\(b/.test(s);", [("test", "/a\\(b/", False)]),
+        ("'a,b'.split(',');", [("split", "'a,b'", False)]),
+        ('import x = require("y"); z();', [("z", "", False)]),
+        ("make<{" + "; ".join(f"f{k}: string" for k in range(100)) + "}>(1);", [("make", "", False)]),
+        ("make<" + " | ".join(f"T{k}<A>" for k in range(100)) + ">(1);", [("make", "", False)]),
+        ("const xs = [" + ", ".join(f"a > ({k})" for k in range(3000)) + "]; f();", [("f", "", False)]),
     ],
 )
 def test_calls(source, expected):
@@ -129,3 +139,10 @@ def test_type_expressions():
     assert [n.base_name for n in parse("(x: A) => Promise<B>", "")] == ["(x: A) => Promise", "B"]
     assert [n.base_name for n in parse("readonly T[]", "")] == [""]
     assert parse("  ", "") == []
+
+
+def test_owners_of_many_functions():
+    n = 4000
+    got = scan("\n".join(f"function f{k}() {{ const g = () => {{ h({k}); }}; k(); }}" for k in range(n)).encode(), "a.ts")
+    names = {x["id"]: x["name"] for x in got["symbols"]}
+    assert [names[c["caller_id"]] for c in got["calls"]] == [x for k in range(n) for x in ("g", f"f{k}")]
