@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -11,46 +10,61 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark deletes a query's shuffle files when it ends, not when the driver's garbage is collected.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests, one machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset on one machine."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not root:
         root = getattr(sc, "_loomspan_dir", None)
         if not root:
+            if not sc.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             root = sc._loomspan_dir = tempfile.mkdtemp(prefix="loomspan-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(root)
     return root
 
 
+def _path(spark: SparkSession, at: str) -> tuple[object, object]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/loomspan/{uuid.uuid4().hex}/{label}"
+    """A path in the shared folder that is deleted when the application ends, if it hasn't been before."""
+    sc = spark.sparkContext
+    home = f"{shared_dir(spark).rstrip('/')}/loomspan/{sc.applicationId}"
+    if getattr(sc, "_loomspan_home", None) != home:
+        fs, path = _path(spark, home)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        sc._loomspan_home = home
+    return f"{home}/{uuid.uuid4().hex}/{label}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: lost executors cost nothing that was done before this point."""
     spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
+    path, old = fresh_path(spark, label), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, old)
     out = spark.read.schema(df.schema).parquet(path)
     out._loomspan_path = path
     return out
 
 
-def free(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of queries that are over; it does so when the driver's objects are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def discard(*frames: DataFrame) -> None:
     """Deletes the files of materialized tables that nothing reads any more."""
     for df in frames:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._loomspan_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        fs, path = _path(df.sparkSession, df._loomspan_path)
+        fs.delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,21 @@
 """Exact substring deduplication by a depth-limited radix sort of suffixes.
 
-A suffix, cut at `depth` bytes, is a window; equal windows are what is wanted, their order is not. So windows go through
-most-significant-digit passes, and a group leaves as soon as one pass shows that it holds one window only, or only equal ones. The
-digits are taken in the order in which they separate most:
+A suffix, cut at `depth` bytes, is a window; equal windows are what is wanted. They go through passes by digits of their bytes, and a
+group of windows leaves as soon as a pass shows that it holds one only, or only equal ones:
 
-1. A window's anchor: its 32-byte gram with the least hash, the leftmost of equals. Windows that follow each other and have
-   their anchor at one place form a run, which stays one row while no digit tells its windows apart (a run holds some 85). Grams
-   that occur in one run only are unique: no window of theirs is repeated.
-2. The whole region that a run's windows cover. Runs with equal regions are repeated from end to end.
-3. The last digit, the window itself, only for one run of each different region under a gram that has several. A gram's
-   regions, if it has `together` runs at most, meet in one task as bytes; of a gram with more, each window becomes a row.
+1. A window's first digit is its anchor: its 32-byte gram with the least hash, the leftmost of equals, so that equal windows have it at
+   one place. Windows that follow each other and have their anchor at one place form a run, which stays one row while no digit tells its
+   windows apart (a run holds some 85). Grams of one run only are unique: no window of theirs is repeated.
+2. The whole region that a run's windows cover. Runs with equal regions are repeated from end to end; one of them goes on.
+3. Under a gram of several regions, the regions' bytes meet, and their windows are sorted by 8 bytes at a time, most significant first, down
+   to `depth`; after each digit, groups of one window leave. What is left at the end are the repeated windows.
 
-Every digit is a hash of 64 bits; a group in pass 2 or 3 agrees in two, of different functions. No window is left out, whatever its group's size: groups are counted (before the shuffle too) and joined, and only those of bounded size are brought together.
+A group of more than `room` regions doesn't meet in one task. It is dealt anew by its next digits: windows are split by how far the anchor is from
+their start into ranges of a fourth, and what the windows of a range have in common, up to the whole window, is the digit. At
+the last range of one window a group is one of equal windows, and needs no sort.
+
+Grams and regions are compared by hashes of 64 bits each, of different functions, bytes from pass 3 on. No window is left out, whatever its
+group's size: groups are counted (before the shuffle too), and only those of bounded size are brought together.
 
 A document is a row; a row is named by doc_id and a hash of its text, so equal rows are copies of each other. Defined results: a null
 text is empty; texts under `depth` bytes keep everything; an empty table gives no rows; other columns are ignored.
@@ -21,15 +25,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free, materialize
+from .common import discard, materialize
 
 GRAM = 32
 _BLOCK = 1 << 20
@@ -51,10 +57,10 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def runs(data: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
-    """data: texts behind each other, ends: where each ends. Of each run: first window, windows, its anchor's hash."""
+    """data: texts behind each other, ends: where each ends. Of each run: first window, windows, its anchor's place and hash."""
     n = len(data) - depth + 1
     if n <= 0:
-        return (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
+        return (np.empty(0, np.int64),) * 4
     h = _gram_hashes(data)
     m = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)
     width, step = depth - GRAM + 1, 1
@@ -71,7 +77,7 @@ def runs(data: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, ..
     first = np.flatnonzero(begin)
     last = inside.copy()
     last[:-1] &= (anchor[1:] != anchor[:-1]) | ~inside[1:]
-    return first, np.flatnonzero(last) - first + 1, h[anchor[first]].view(np.int64)
+    return first, np.flatnonzero(last) - first + 1, anchor[first], h[anchor[first]].view(np.int64)
 
 
 def _anchors(depth: int) -> Any:
@@ -90,98 +96,111 @@ def _anchors(depth: int) -> Any:
                 data, ends = np.frombuffer(whole, np.uint8), np.cumsum([len(x) for x in own])
                 for lo in range(0, max(1, len(whole) - depth + 1), _BLOCK if many == 1 else len(whole) or 1):
                     piece = data[lo : lo + _BLOCK + depth - 1] if many == 1 else data
-                    first, count, gram = runs(piece, np.array([len(piece)]) if many == 1 else ends, depth)
+                    first, count, anchor, gram = runs(piece, np.array([len(piece)]) if many == 1 else ends, depth)
                     if not len(first):
                         continue
                     region = np.array([digest(whole[a : a + k]) for a, k in zip((first + lo).tolist(), (count + depth - 1).tolist(), strict=True)], np.uint64)
                     text = np.searchsorted(ends, first + lo, "right")
-                    rows.append((text + at, first + lo - (ends - [len(x) for x in own])[text], count, gram, region.view(np.int64)))
+                    rows.append((text + at, first + lo - (ends - [len(x) for x in own])[text], count, anchor - first, gram, region.view(np.int64)))
                 at += many
                 if rows:
-                    text, start, count, gram, region = (np.concatenate(x) for x in zip(*rows, strict=True))
+                    text, start, count, anchor, gram, region = (np.concatenate(x) for x in zip(*rows, strict=True))
                     take = pa.array(text)
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("h").take(take), pa.array(start * 256 + count), pa.array(gram), pa.array(region)], ["doc_id", "h", "run", "gram", "region"])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("h").take(take), pa.array(start << 16 | count << 8 | anchor), pa.array(gram), pa.array(region)], ["doc_id", "h", "run", "gram", "region"])
 
     return run
 
 
-def _windows(depth: int) -> Any:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
-            ids, hs = batch.column("doc_id"), batch.column("h")
-            for k, (text, info) in enumerate(zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("info").to_pylist(), strict=True)):
-                grams, starts, found, alone = [], [], [], []
-                for x in info:
-                    if x["gram"] is not None and x["wide"]:
-                        lo, n = divmod(x["run"], 256)
-                        found += [digest(text[s : s + depth]) for s in range(lo, lo + n)]
-                        starts += range(lo, lo + n)
-                        grams += [x["gram"]] * n
-                        alone += [x["alone"]] * n
-                if found:
-                    take = pa.array(np.full(len(found), k))
-                    yield pa.RecordBatch.from_arrays([ids.take(take), hs.take(take), pa.array(starts, pa.int64()), pa.array(grams, pa.int64()), pa.array(np.array(found, np.uint64).view(np.int64)), pa.array(alone)], ["doc_id", "h", "start", "gram", "window", "alone"])
-
-    return run
+def _unpacked(run: int) -> tuple[int, int, int]:
+    """Of a run: its first window, its windows, how far its anchor is from its first window."""
+    return run >> 16, run >> 8 & 255, run & 255
 
 
-def _regions(depth: int) -> Any:
-    """The bytes of the regions asked for, of grams that aren't wide."""
+def _regions(depth: int, hot: bool) -> Any:
+    """The bytes of the regions asked for, of grams that are hot or of those that aren't. Of equal rows of a task, one is asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = set()
         for batch in batches:
             ids, hs = batch.column("doc_id"), batch.column("h")
-            rows: list[list[Any]] = [[], [], [], [], []]
-            for k, (text, info) in enumerate(zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("info").to_pylist(), strict=True)):
+            rows: list[list[Any]] = [[], [], [], [], [], []]
+            for k, (key, text, info) in enumerate(zip(zip(ids.to_pylist(), hs.to_pylist(), strict=True), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("info").to_pylist(), strict=True)):
+                if key in met:
+                    continue
+                met.add(key)
                 for x in info:
-                    if x["gram"] is not None and not x["wide"]:
-                        lo, n = divmod(x["run"], 256)
-                        for column, value in zip(rows, (k, x["gram"], lo, x["alone"], text[lo : lo + n + depth - 1]), strict=True):
+                    if x["gram"] is not None and x["hot"] == hot:
+                        lo, n, anchor = _unpacked(x["run"])
+                        for column, value in zip(rows, (k, x["gram"].to_bytes(8, "big", signed=True), lo, anchor, x["alone"], text[lo : lo + n + depth - 1]), strict=True):
                             column.append(value)
             take = pa.array(rows[0], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids.take(take), hs.take(take), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.bool_()), pa.array(rows[4], pa.binary())], ["doc_id", "h", "gram", "start", "alone", "region"])
+            own = [pa.array(x, t) for x, t in zip(rows[1:], (pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([ids.take(take), hs.take(take), *own], ["doc_id", "h", "digit", "start", "anchor", "alone", "region"])
 
     return run
 
 
-def repeated_within(regions: list[bytes], wanted: list[bool], depth: int) -> list[list[tuple[int, int]]]:
-    """For each wanted region the spans (from its own start) of windows that another region has too."""
-    digest = xxhash.xxh3_64_intdigest
-    sizes = [len(r) - depth + 1 for r in regions]
-    own = np.fromiter((digest(r[k : k + depth]) for r, n in zip(regions, sizes, strict=True) for k in range(n)), np.uint64, sum(sizes))
-    _, inverse, times = np.unique(own, return_inverse=True, return_counts=True)
-    again = times[inverse] > 1
-    ends = np.cumsum(sizes)
-    return [merged([(int(k), int(k) + depth) for k in np.flatnonzero(again[e - n : e])]) if w else [] for e, n, w in zip(ends, sizes, wanted, strict=True)]
+def repeated_windows(regions: list[bytes], group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(region, place in it) of the windows of regions that another window of their group equals; group: a number for each region.
+
+    Radix passes by 8 bytes, most significant first. A pass sorts only groups in which the digit differs."""
+    if not regions:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    data = np.frombuffer(b"".join(regions), np.uint8)
+    digits = np.zeros(len(data) - 7, np.uint64)
+    for k in range(8):
+        digits |= data[k : len(data) - 7 + k].astype(np.uint64) << np.uint64(8 * (7 - k))
+    sizes = np.array([len(r) for r in regions])
+    own = np.repeat(np.arange(len(regions)), sizes - depth + 1)
+    begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    at = np.arange(len(own)) - np.repeat(np.cumsum(sizes - depth + 1) - (sizes - depth + 1), sizes - depth + 1) + begin[own]
+    g = np.asarray(group)[own]
+    for deep in [*range(0, depth - 7, 8), *([depth - 8] if depth % 8 else [])]:
+        d = digits[at + deep]
+        if deep:  # groups come together and in order; those of one digit stay as they are
+            first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+            same = np.logical_and.reduceat(d == np.repeat(d[first], np.diff(first, append=len(g))), first)
+            mixed = np.flatnonzero(np.repeat(~same, np.diff(first, append=len(g))))
+            if not len(mixed):
+                continue
+        else:
+            mixed = np.arange(len(g))
+        order = mixed[np.lexsort((d[mixed], g[mixed]))]
+        at[mixed], own[mixed], d[mixed], g[mixed] = at[order], own[order], d[order], g[order]
+        fresh = np.concatenate(([True], (g[1:] != g[:-1]) | (d[1:] != d[:-1])))
+        g = np.cumsum(fresh) - 1
+        stays = np.bincount(g)[g] > 1
+        at, own, g = at[stays], own[stays], g[stays]
+        if not len(at):
+            break
+    return own, at - begin[own]
 
 
 def _compare(depth: int) -> Any:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by gram; the last gram of a batch waits for the next."""
+        """Rows come sorted by digit; the last digit of a batch waits for the next."""
         left: pa.Table | None = None
 
         def compared(rows: pa.Table) -> pa.RecordBatch:
-            gram, start = rows["gram"].to_numpy(), rows["start"].to_numpy()
-            regions, alone = rows["region"].to_pylist(), rows["alone"].to_pylist()
-            edges = [0, *(np.flatnonzero(gram[1:] != gram[:-1]) + 1).tolist(), len(gram)]
-            at, spans = [], []
-            for a, b in zip(edges, edges[1:], strict=False):
-                for k, own in enumerate(repeated_within(regions[a:b], alone[a:b], depth), a):
-                    at += [k] * len(own)
-                    spans += [(int(start[k]) + x, int(start[k]) + y) for x, y in own]
-            take = pa.array(at, pa.int64())
-            ids, hs = (rows[c].combine_chunks().take(take) for c in ("doc_id", "h"))
-            plain = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (ids, hs)]
-            return pa.RecordBatch.from_arrays([*plain, pa.array([x for x, _ in spans], pa.int64()), pa.array([y for _, y in spans], pa.int64())], ["doc_id", "h", "start", "end"])
+            start, alone = rows["start"].to_numpy(), rows["alone"].to_numpy(zero_copy_only=False)
+            own, place = repeated_windows(rows["region"].to_pylist(), _changes(rows["digit"]).cumsum(), depth)
+            own, place = own[alone[own]], place[alone[own]]
+            order = np.lexsort((place, own))
+            own, a = own[order], (start[own] + place)[order]
+            # Windows that follow each other or overlap are one span.
+            fresh = np.ones(len(a), bool)
+            fresh[1:] = (own[1:] != own[:-1]) | (a[1:] > a[:-1] + depth)
+            first = np.flatnonzero(fresh)
+            last = np.append(first[1:], len(a))[: len(first)] - 1
+            take = pa.array(own[first])
+            ids, hs = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (rows[c].combine_chunks().take(take) for c in ("doc_id", "h")))
+            return pa.RecordBatch.from_arrays([ids, hs, pa.array(a[first]), pa.array(a[last] + depth)], ["doc_id", "h", "start", "end"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = pa.Table.from_batches([batch]) if left is None else pa.concat_tables([left, pa.Table.from_batches([batch])])
-            gram = rows["gram"].to_numpy()
-            other = np.flatnonzero(gram != gram[-1])
-            cut = int(other[-1]) + 1 if len(other) else 0
+            cut = int(np.flatnonzero(_changes(rows["digit"]))[-1:].sum())
             left = rows.slice(cut)
             if cut:
                 yield compared(rows.slice(0, cut))
@@ -191,6 +210,13 @@ def _compare(depth: int) -> Any:
     return run
 
 
+def _changes(digit: pa.ChunkedArray) -> np.ndarray:
+    """Where a sorted column has another value than before; the first row has none before."""
+    values = digit.combine_chunks()
+    values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+    return np.concatenate(([False], pc.not_equal(values.slice(1), values.slice(0, len(values) - 1)).to_numpy(zero_copy_only=False)))
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The union, as maximal runs."""
     out: list[tuple[int, int]] = []
@@ -207,7 +233,7 @@ def _remove(depth: int, with_text: bool) -> Any:
         for batch in batches:
             removed, n_spans, sha, kept_texts, all_spans = [], [], [], [], []
             for text, info, starts in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("info").to_pylist(), batch.column("starts").to_pylist(), strict=True):
-                own = [(x["run"] // 256, x["run"] // 256 + x["run"] % 256 + depth - 1) for x in info or [] if x["repeated"]]
+                own = [(lo, lo + n + depth - 1) for lo, n, _ in (_unpacked(x["run"]) for x in info or [] if x["repeated"])]
                 spans = merged(own + [(x["start"], x["end"]) for x in starts or []])
                 at, kept = 0, []
                 for a, b in spans:
@@ -234,44 +260,67 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
     return (a["h"] == b["h"]) & a["doc_id"].eqNullSafe(b["doc_id"])
 
 
-def remove_repeats(docs: DataFrame, *, depth: int = 200, with_text: bool = False, together: int = 1 << 15) -> DataFrame:
+def _split(rows: DataFrame, width: int, depth: int) -> DataFrame:
+    """rows (a run each), a row for each range of `width` of the distance from a window's start to its anchor: what the range's windows cover
+    is the region, what they have in common is the digit."""
+    size, anchor = F.length("region"), F.col("anchor")
+    least = F.greatest(anchor - (size - depth), F.lit(0))
+    ranged = rows.withColumn("k", F.explode(F.sequence(F.floor(least / width).cast("int"), F.floor(anchor / width).cast("int"))))
+    lo, hi = F.col("k") * width, F.least(F.col("k") * width + (width - 1), F.lit(depth - GRAM))
+    first, last = anchor - F.least(hi, anchor), anchor - F.greatest(lo, least)  # windows by place in the region
+    digit = F.concat(F.concat(F.lit(f"{width}|"), F.col("k").cast("string"), F.lit("|")).cast("binary"), F.substring("region", (anchor - lo + 1).cast("int"), (lo - hi + depth).cast("int")))
+    return ranged.select("doc_id", "h", digit.alias("digit"), (F.col("start") + first).alias("start"), (anchor - first).alias("anchor"), "alone", F.substring("region", (first + 1).cast("int"), (last - first + depth).cast("int")).alias("region"))
+
+
+def _parted(hot: DataFrame, depth: int, room: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """hot: rows of groups that are too large for a task. (Rows of groups that aren't any more; windows of groups of equal ones.)"""
+    near, equal, width = [], [], depth - GRAM + 1
+    while width > 1 and not hot.isEmpty():
+        width = -(-width // 4)
+        rows = materialize(_split(hot, width, depth), f"split{width}")
+        large = rows.groupBy("digit").agg(F.count("*").alias("n")).where(F.col("n") > room).select("digit")
+        near.append(rows.join(large, "digit", "left_anti").select(*rows.columns))
+        hot = rows.join(large, "digit", "left_semi").select(*rows.columns)
+    if width == 1:
+        equal.append(hot.where("alone").select("doc_id", "h", "start", (F.col("start") + depth).alias("end")))
+    return near, equal
+
+
+def remove_repeats(docs: DataFrame, *, depth: int = 200, with_text: bool = False, room: int = 512) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text adds kept (the bytes) and spans
     (byte ranges removed, end exclusive). Removed is each byte within a string of depth bytes that also starts anywhere else."""
-    if not GRAM <= depth < 256 + GRAM:
-        raise ValueError(f"depth must be from {GRAM} to {255 + GRAM}")
-    spark = docs.sparkSession
+    if not GRAM <= depth < 255 + GRAM:
+        raise ValueError(f"depth must be from {GRAM} to {254 + GRAM}")
     doc_id = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     anchors = texts.where(F.octet_length("text") >= depth).select("doc_id", "h", "text").mapInArrow(_anchors(depth), f"doc_id {doc_id}, h long, run long, gram long, region long")
     # Pass 1: grams of one run only leave.
-    grams = materialize(anchors.groupBy("gram").agg(F.count("*").alias("n"), F.min("region").alias("a"), F.max("region").alias("b")).where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("several"), (F.col("n") > together).alias("wide")), "grams")
-    free(spark)
+    grams = materialize(anchors.groupBy("gram").agg(F.count("*").alias("n"), F.min("region").alias("a"), F.max("region").alias("b")).where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("several")), "grams")
     met = materialize(anchors.join(grams, "gram"), "met")
-    free(spark)
     # Pass 2: under a gram of several regions, a region of several runs is repeated; one run of each region goes on.
     mixed = met.where("several")
-    regions = materialize(mixed.groupBy("gram", "region").agg(F.count("*").alias("n"), F.min(F.struct("h", "run", "doc_id")).alias("one"), F.max("wide").alias("wide")), "regions")
-    one = regions.select("one.doc_id", "one.h", F.struct(F.col("one.run").alias("run"), "gram", F.lit(False).alias("repeated"), (F.col("n") == 1).alias("alone"), "wide").alias("x"))
+    regions = materialize(mixed.groupBy("gram", "region").agg(F.count("*").alias("n"), F.min(F.struct("h", "run", "doc_id")).alias("one")), "regions")
+    large = regions.groupBy("gram").agg(F.count("*").alias("m")).where(F.col("m") > room).select("gram", F.lit(True).alias("hot"))
+    one = regions.join(large, "gram", "left").select("one.doc_id", "one.h", F.struct(F.col("one.run").alias("run"), "gram", F.lit(False).alias("repeated"), (F.col("n") == 1).alias("alone"), F.coalesce("hot", F.lit(False)).alias("hot")).alias("x"))
     none = F.lit(None).cast("long")
     repeated = met.where("not several").select("doc_id", "h", "run").unionByName(mixed.join(regions.where("n > 1").select("gram", "region"), ["gram", "region"], "left_semi").select("doc_id", "h", "run"))
-    info = repeated.select("doc_id", "h", F.struct("run", none.alias("gram"), F.lit(True).alias("repeated"), F.lit(False).alias("alone"), F.lit(False).alias("wide")).alias("x"))
-    info = info.unionByName(one)
-    info = info.groupBy("doc_id", "h").agg(F.collect_list("x").alias("info"))
+    info = repeated.select("doc_id", "h", F.struct("run", none.alias("gram"), F.lit(True).alias("repeated"), F.lit(False).alias("alone"), F.lit(False).alias("hot")).alias("x"))
+    info = info.unionByName(one).groupBy("doc_id", "h").agg(F.collect_set("x").alias("info"))  # equal rows have equal runs
     has = F.col("info").isNotNull()
     known = materialize(
         texts.join(info, _same(texts, info), "left").select(texts["doc_id"], texts["h"], "info", F.octet_length("text").cast("long").alias("n_bytes"), F.when(has, F.col("text")).alias("text"), F.when(~has, F.sha2(F.col("text").cast("binary"), 256)).alias("kept_sha256"), *[F.when(~has, F.col("text")).alias("whole")] * with_text),
         "known",
     )
     discard(grams, met, regions)
-    free(spark)
-    # Pass 3: the windows themselves. Where a gram has few regions, these meet and are compared; where it has many, windows become rows.
+    # Pass 3: the windows of what is left.
     asked = known.where(F.exists("info", lambda x: x["gram"].isNotNull())).select("doc_id", "h", "text", "info")
-    near = asked.mapInArrow(_regions(depth), f"doc_id {doc_id}, h long, gram long, start long, alone boolean, region binary").repartition("gram").sortWithinPartitions("gram")
-    spans = near.mapInArrow(_compare(depth), f"doc_id {doc_id}, h long, start long, end long")
-    windows = asked.where(F.exists("info", lambda x: x["wide"])).mapInArrow(_windows(depth), f"doc_id {doc_id}, h long, start long, gram long, window long, alone boolean")
-    equal = windows.groupBy("gram", "window").agg(F.count("*").alias("n")).where("n > 1").select("gram", "window")
-    wide = windows.where("alone").join(equal, ["gram", "window"], "left_semi").select("doc_id", "h", "start", (F.col("start") + depth).alias("end"))
-    starts = spans.unionByName(wide).groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end")).alias("starts"))
+    kinds = f"doc_id {doc_id}, h long, digit binary, start long, anchor long, alone boolean, region binary"
+    hot = asked.where(F.exists("info", lambda x: x["hot"])).mapInArrow(_regions(depth, True), kinds).dropDuplicates(["doc_id", "h", "start"])
+    near, equal = _parted(materialize(hot, "hot"), depth, room)
+    near.append(asked.mapInArrow(_regions(depth, False), kinds))
+    met_again = reduce(DataFrame.unionByName, near).repartition("digit").sortWithinPartitions("digit")
+    spans = reduce(DataFrame.unionByName, [met_again.mapInArrow(_compare(depth), f"doc_id {doc_id}, h long, start long, end long"), *equal])
+    starts = spans.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end")).alias("starts"))
     candidates = known.where(has)
     cut = candidates.join(starts, _same(candidates, starts), "left").select(candidates["doc_id"], "n_bytes", "text", "info", "starts")
     kinds = f"doc_id {doc_id}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<start:long,end:long>>" * with_text

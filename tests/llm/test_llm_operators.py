@@ -200,25 +200,72 @@ def test_links_within_clusters_and_hot_buckets(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("together", [256, 1])
-def test_repeated_substrings(spark, docs, none, together):
-    texts = [(t or "").encode() for _, t in ROWS]
-    times = Counter(t[k : k + 200] for t in texts for k in range(len(t) - 199))
-
-    def plain(t):
+def _without_repeats(texts: list[bytes], depth: int = 200) -> list[tuple[int, int, int, str]]:
+    times = Counter(hash(t[k : k + depth]) for t in texts for k in range(len(t) - depth + 1))
+    out = []
+    for t in texts:
         mark = bytearray(len(t))
-        for k in range(len(t) - 199):
-            if times[t[k : k + 200]] > 1:
-                mark[k : k + 200] = b"\1" * 200
+        for k in range(len(t) - depth + 1):
+            if times[hash(t[k : k + depth])] > 1:
+                mark[k : k + depth] = b"\1" * depth
         kept = bytes(c for c, m in zip(t, mark, strict=True) if not m)
-        return len(t), sum(mark), len(re.findall(rb"\x01+", mark)), hashlib.sha256(kept).hexdigest()
+        out.append((len(t), sum(mark), len(re.findall(rb"\x01+", mark)), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+_REMOVED = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
-    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    got = suffix_dedup.remove_repeats(docs, together=together)
-    assert rows(got, *columns) == sorted(repr((i, *plain((t or "").encode()))) for i, t in ROWS)
+
+@pytest.mark.parametrize("room", [256, 1])
+def test_repeated_substrings(spark, docs, none, room):
+    want = sorted(repr((i, *x)) for (i, _), x in zip(ROWS, _without_repeats([(t or "").encode() for _, t in ROWS]), strict=True))
+    assert rows(suffix_dedup.remove_repeats(docs, room=room), *_REMOVED) == want
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("room", [512, 2])
+def test_repeated_substrings_in_varying_surroundings(spark, room):
+    """Passages that many texts share, cut at random, so that most windows of a gram differ."""
+    rng = random.Random(21)
+    shared = ["".join(rng.choice("abcdefgh ") for _ in range(700)) for _ in range(3)]
+    texts = []
+    for _ in range(120):
+        a = rng.randrange(500)
+        texts.append("".join(rng.choice("ijkl ") for _ in range(rng.randrange(200))) + rng.choice(shared)[a : a + rng.randrange(150, 500)] + "é" * rng.randrange(120))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = suffix_dedup.remove_repeats(df, room=room, with_text=True)
+    assert rows(got, *_REMOVED) == sorted(repr((i, *x)) for i, x in enumerate(_without_repeats([t.encode() for t in texts])))
+    for r in got.collect():
+        raw, at, kept = texts[r.doc_id].encode(), 0, b""
+        for s in r.spans:
+            kept, at = kept + raw[at : s.start], s.end
+        assert kept + raw[at:] == r.kept
+
+
+def test_repeats_in_equal_rows_and_in_texts_over_a_block(spark):
+    rng = np.random.default_rng(4)
+    long = bytes(rng.integers(97, 123, (1 << 20) + 150_000, dtype=np.uint8)).decode()
+    long = long[:-1000] + long[(1 << 20) - 600 : (1 << 20) + 400]  # a repeat over the border of blocks
+    one = bytes(rng.integers(97, 123, 3000, dtype=np.uint8)).decode()
+    rows_ = [(1, long)] + [(2, one)] * 1000
+    df = spark.createDataFrame(rows_, "doc_id long, text string").repartition(4)
+    (first,), equal = [suffix_dedup.remove_repeats(df).where(f"doc_id = {k}").collect() for k in (1, 2)]
+    assert (first.n_removed, first.n_spans) == (2000, 2) and first.kept_sha256 == hashlib.sha256((long[: (1 << 20) - 600] + long[(1 << 20) + 400 : -1000]).encode()).hexdigest()
+    assert len(equal) == 1000 and {(r.n_removed, r.n_spans, r.kept_sha256) for r in equal} == {(3000, 1, hashlib.sha256(b"").hexdigest())}
+
+
+@pytest.mark.parametrize("depth", [32, 45, 200])
+def test_radix_passes_find_equal_windows(depth):
+    rng = random.Random(depth)
+    pool = ["".join(rng.choice("ab") for _ in range(300)) for _ in range(4)]
+    regions = [(rng.choice(pool)[a : a + depth + rng.randrange(60)]).ljust(depth, "c").encode() for a in (rng.randrange(60) for _ in range(80))]
+    group = np.array([k // 10 for k in range(80)])
+    times = Counter((group[k], r[a : a + depth]) for k, r in enumerate(regions) for a in range(len(r) - depth + 1))
+    want = {(k, a) for k, r in enumerate(regions) for a in range(len(r) - depth + 1) if times[group[k], r[a : a + depth]] > 1}
+    own, place = suffix_dedup.repeated_windows(regions, group, depth)
+    assert len(own) == len(want) and set(zip(own.tolist(), place.tolist(), strict=True)) == want
+
+
 def test_rule_statistics(spark, docs, none):
     def plain(t):
         t = t or ""
