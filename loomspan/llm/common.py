@@ -67,6 +67,15 @@ def discard(*frames: DataFrame) -> None:
         fs.delete(path, True)
 
 
+def join_spread(rows: DataFrame, table: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """rows joined by key with table, whose n says how many rows each of its keys has. Keys with over a share of all rows, fewer than `share`
+    by that, are joined where the rows are, so that no task gets all rows of such a key."""
+    table = materialize(table, "keys")
+    least = (table.agg(F.sum("n")).first()[0] or 0) / share
+    hot = F.broadcast(table.where(F.col("n") > least))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(table.where(F.col("n") <= least), key))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

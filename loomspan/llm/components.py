@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
@@ -23,18 +23,15 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
     return out.where("a != b").distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """links: a, b (of one orderable type). Returns node, root for each node with a link to another; root is the component's least node,
     which has a row of its own."""
     at = materialize(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    state = None
-    for k in range(rounds):
-        at = materialize(_stars(_stars(at, True), False), f"links{k}")
+    state, settled = None, False
+    while not settled:
+        before, at = at, materialize(_stars(_stars(at, True), False), "links")
+        discard(before)
         now = tuple(at.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == state:
-            break
-        state = now
-    else:
-        raise RuntimeError(f"links didn't settle in {rounds} rounds")
+        settled, state = now == state, now
     nodes = at.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.union(at.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -3,12 +3,17 @@
 A fingerprint has a bit where over half of the hashes of a text's word shingles have it. Fingerprints at `most` or fewer
 differing bits are linked; a component is what links reach. Equal fingerprints are one node.
 
-To compare only what can be near, the 64 bits are cut into `blocks` blocks; two fingerprints that differ in at most `most` bits agree
-on `blocks` - `most` whole blocks, so each goes to one bucket for every choice of so many blocks. Within a bucket, a table holds
-every fingerprint's Hamming distances to `PIVOTS` reference fingerprints. Differences of these coordinates never exceed the
-distance itself: rows sorted by the first coordinate are compared only while it differs by at most `most`, pairs whose maximum
-coordinate difference is larger are discarded, survivors are verified. A bucket gives links to the least fingerprint of each part
-that hangs together, not its pairs; a bucket over `chunk` is dealt in chunks, and every two chunks meet in a cell of their own.
+A table holds every fingerprint's Hamming distances to reference fingerprints, the pivots. Differences of these coordinates never exceed
+the distance itself. FINE pivots are the first one with two bits turned: such a coordinate less the first says in how many of the two
+bits a fingerprint differs from the first pivot. These coordinates, in `groups` groups, decide who meets: of two fingerprints at most `most` bits
+apart, all coordinates of `groups` - `most` whole groups are equal, so each goes to one bucket for every choice of so many groups.
+Within a bucket, rows sorted by the first coordinate are compared only while it differs by at most `most`, pairs whose maximum coordinate
+difference over WIDE further pivots is larger are discarded, survivors are verified. A bucket gives links to the least fingerprint of
+each part that hangs together, not its pairs.
+
+A bucket over `chunk` is dealt in chunks, and every two chunks meet in a cell of their own. Where that took more than CELLS cells a row, the
+other groups' bits are cut into PARTS parts, and a row goes to a cell for each choice of `most` parts that may differ: CELLS at most,
+of 2 ** 9 different fingerprints at most. So a row has a bounded number of cells, and a cell of rows, whatever the bucket's size.
 
 keep_one(alike=...) links by the texts themselves: two are linked if the Jaccard similarity of their sets of shingles is `alike` or more.
 Fingerprints at that similarity are too far apart for blocks of bits (about 10 bits at 0.8), so buckets are BANDS bands of ROWS least
@@ -23,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 from typing import Any
 
 import numpy as np
@@ -31,12 +37,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_spread, let, materialize
 from .components import components
 
 SEED = 42
-PIVOTS = 24
-_PIVOTS = np.random.default_rng(20240501).integers(0, 1 << 64, PIVOTS, dtype=np.uint64)
+FINE, WIDE = 32, 23
+_FIRST, *_OTHERS = np.random.default_rng(20240501).integers(0, 1 << 64, 1 + WIDE, dtype=np.uint64)
+#: The first pivot and those that tell far fingerprints apart; the first with two bits turned, bit by bit.
+_PIVOTS = np.array([_FIRST, *_OTHERS], np.uint64)
+_TURNED = _FIRST ^ (np.uint64(3) << np.arange(0, 64, 2, dtype=np.uint64))
+PARTS = 12
 #: Buckets of similar sets: so many bands, each of so many least hashes.
 BANDS, ROWS = 24, 4
 _TIMES, _PLUS = np.random.default_rng(20240502).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
@@ -113,11 +123,47 @@ def _fingerprints(width: int) -> Any:
     return run
 
 
-def _masks(blocks: int, most: int) -> list[int]:
-    """A mask for every choice of blocks - most blocks, as signed numbers."""
-    edges = [64 * k // blocks for k in range(blocks + 1)]
-    bits = [sum(1 << i for i in range(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
-    return [int(np.array(sum(own), np.uint64).astype(np.int64)) for own in combinations(bits, blocks - most)]
+def _signed(x: int) -> int:
+    return int(np.array(x, np.uint64).astype(np.int64))
+
+
+def _choices(groups: int, most: int) -> list[tuple[int, ...]]:
+    """The groups whose coordinates are equal, in every way that differences can leave some."""
+    return list(combinations(range(groups), groups - most))
+
+
+def _group_of(groups: int) -> list[list[int]]:
+    """The fine pivots of each group."""
+    edges = [FINE * k // groups for k in range(groups + 1)]
+    return [list(range(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def bucket_keys(fp: Column, groups: int, most: int) -> Column:
+    """An array with a key for each choice of groups: their coordinates, less the first."""
+    first = F.bit_count(fp.bitwiseXOR(F.lit(_signed(_FIRST))))
+
+    def coded(own: list[int], d0: Column) -> Column:
+        code = F.lit(0)
+        for k in own:
+            differ = F.shiftright(d0 + 2 - F.bit_count(fp.bitwiseXOR(F.lit(_signed(_TURNED[k])))), 1)
+            code = code * 3 + differ
+        return code.cast("long")
+
+    def keys(codes: Column) -> Column:
+        return F.array(*(sum((F.shiftleft(codes[g], 20 * k) for k, g in enumerate(own[1:], 1)), codes[own[0]]) for own in _choices(groups, most)))
+
+    return let(let(first, lambda d0: F.array(*(coded(own, d0) for own in _group_of(groups)))), keys)
+
+
+def _parts(groups: int, most: int) -> list[tuple[int, int, int]]:
+    """For each choice of groups (by its number) and each choice of parts of the other groups' bits: the bits that are equal."""
+    out, everything = [], (1 << 64) - 1
+    for band, own in enumerate(_choices(groups, most)):
+        bits = [2 * k + b for g, ks in enumerate(_group_of(groups)) if g not in own for k in ks for b in (0, 1)]
+        edges = [len(bits) * k // PARTS for k in range(PARTS + 1)]
+        part = [sum(1 << x for x in bits[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+        out += [(band, k, _signed(everything ^ sum(x))) for k, x in enumerate(combinations(part, most))]
+    return out
 
 
 def near_links(cell: np.ndarray, fp: np.ndarray, most: int, pivots: np.ndarray = _PIVOTS, linked: Any = None) -> np.ndarray:
@@ -218,12 +264,16 @@ def _alike_links(most: int, alike: float) -> Any:
     return run
 
 
-def link(distinct: DataFrame, *, most: int = 3, blocks: int = 6, chunk: int = 512) -> DataFrame:
+def link(distinct: DataFrame, *, most: int = 3, groups: int = 6, chunk: int = 512, cells: int | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that connect what differs in at most `most` bits."""
-    masks = _masks(blocks, most)
-    bands = distinct.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("band", "key"))
-    bands = bands.select("fp", F.col("band").cast("long").alias("band"), "key")
-    dealt = _dealt(_met(bands), chunk).select("band", "pair", "key", "fp").repartition("band", "pair", "key").sortWithinPartitions("band", "pair", "key")
+    cells = comb(PARTS, most) if cells is None else cells
+    bands = distinct.select("fp", F.posexplode(bucket_keys(F.col("fp"), groups, most)).alias("band", "key"))
+    met = materialize(_met(bands.select("fp", F.col("band").cast("long").alias("band"), "key")), "met")
+    own = ["band", "pair", "key", "fp"]
+    dealt = _dealt(met.where(F.col("n") <= chunk * cells), chunk).select(*own)
+    parts = F.broadcast(distinct.sparkSession.createDataFrame(_parts(groups, most), "band long, part long, mask long"))
+    large = met.where(F.col("n") > chunk * cells).join(parts, "band").select("band", (-1 - F.col("part")).alias("pair"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+    dealt = dealt.unionByName(large).repartition("band", "pair", "key").sortWithinPartitions("band", "pair", "key")
     return dealt.mapInArrow(_links(most), "a long, b long")
 
 
@@ -253,38 +303,38 @@ def fingerprints(docs: DataFrame, *ids: str | Column, width: int = 3) -> DataFra
     return own.mapInArrow(_fingerprints(width), f"{kinds}, fp long")
 
 
-def cluster(prints: DataFrame, *, most: int = 3, blocks: int = 6, chunk: int = 512) -> DataFrame:
-    """prints: doc_id, fp, written to the shared folder. Per distinct fp: fp, component_id."""
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    return _named(distinct, link(distinct, most=most, blocks=blocks, chunk=chunk))
+def cluster(prints: DataFrame, *, most: int = 3, groups: int = 6, chunk: int = 512) -> DataFrame:
+    """prints: doc_id, fp, written to the shared folder. Per distinct fp: fp, component_id, n (its rows)."""
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
+    return _named(distinct, link(distinct, most=most, groups=groups, chunk=chunk))
 
 
 def _named(distinct: DataFrame, links: DataFrame) -> DataFrame:
-    """distinct: fp, first. fp and component_id, the least first of what links connect."""
+    """distinct: fp, first, n. fp, n and component_id, the least first of what links connect."""
     parts = materialize(components(links), "parts")
-    linked = parts.join(distinct, parts["node"] == distinct["fp"]).select("fp", "root", "first")
-    least = linked.groupBy("root").agg(F.min("first").alias("component"))
-    linked = linked.join(least, "root").select("fp", F.col("component"))
-    return distinct.join(linked, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
+    linked = materialize(parts.join(distinct, parts["node"] == distinct["fp"]).select("fp", "root", "first"), "linked")
+    least = linked.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("n"))
+    linked = join_spread(linked.select("fp", "root"), least, "root").select("fp", "component")
+    return distinct.join(linked, "fp", "left").select("fp", "n", F.coalesce("component", "first").alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 3, most: int = 3, blocks: int = 6, chunk: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = 3, most: int = 3, groups: int = 6, chunk: int = 512) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, fingerprint (16 hex digits), component_id."""
     prints = materialize(fingerprints(docs, "doc_id", width=width), "prints")
-    found = prints.join(cluster(prints, most=most, blocks=blocks, chunk=chunk), "fp")
+    found = join_spread(prints, cluster(prints, most=most, groups=groups, chunk=chunk), "fp")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def cluster_alike(docs: DataFrame, prints: DataFrame, ids: list[str], *, width: int, alike: float, most: int = 24, chunk: int = 512) -> DataFrame:
     """Per distinct set of shingles (fp of prints): fp, component_id. ids name the columns that docs and prints share; docs has text, too."""
     one = F.min(F.struct(*ids)).alias("one")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("bits").alias("bits"), one, F.first("keys").alias("keys")), "distinct")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("bits").alias("bits"), one, F.first("keys").alias("keys"), F.count("*").alias("n")), "distinct")
     bands = distinct.select("fp", "bits", "one", F.posexplode("keys").alias("band", "key"))
     met = materialize(_met(bands.withColumn("band", F.col("band").cast("long"))), "met")
     wanted = met.select("fp", "one.*").distinct()
     texts = docs.select(*ids, "text").join(wanted, ids).dropDuplicates(["fp"]).select("fp", "text")
     sets = materialize(texts.mapInArrow(_sets(width), "fp long, own binary"), "sets")
-    return _named(distinct.select("fp", "first"), link_alike(met.drop("one"), sets, alike=alike, most=most, chunk=chunk))
+    return _named(distinct.select("fp", "first", "n"), link_alike(met.drop("one"), sets, alike=alike, most=most, chunk=chunk))
 
 
 def keep_one(docs: DataFrame, *, width: int = 3, alike: float | None = None, **options: int) -> DataFrame:
@@ -294,13 +344,15 @@ def keep_one(docs: DataFrame, *, width: int = 3, alike: float | None = None, **o
     keyed = docs.withColumn(k, F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn(h, F.xxhash64("text"))
     if alike is None:
         prints = materialize(fingerprints(keyed, "doc_id", F.col(k), F.col(h), width=width), "prints")
-        found = prints.join(cluster(prints, **options), "fp")
+        found = cluster(prints, **options)
     else:
         doc_id = docs.schema["doc_id"].dataType.simpleString()
         made = keyed.select("doc_id", k, h, "text").mapInArrow(_sketches(width), f"doc_id {doc_id}, {k} string, {h} long, fp long, bits long, keys array<long>")
         prints = materialize(made, "prints")
-        found = prints.drop("bits", "keys").join(cluster_alike(keyed, prints, [k, h], width=width, alike=alike, **options), "fp")
-    # Of a component without any doc_id, component_id is null: such rows stand for themselves by their fingerprint.
+        found = cluster_alike(keyed, prints, [k, h], width=width, alike=alike, **options)
+    # The first row of each fingerprint, of these the first of each component. Of a component without any doc_id, component_id is null:
+    # such rows stand for themselves by their fingerprint.
+    first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(k), F.col(h))).alias("w"))
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), "fp"))
-    won = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(k), F.col(h))).alias("w")).select(f"w.{k}", f"w.{h}")
+    won = first.join(found, "fp").groupBy(group.alias("g")).agg(F.min("w").alias("w")).select(f"w.{k}", f"w.{h}")
     return keyed.join(won, [k, h]).dropDuplicates([k, h]).select(*docs.columns)

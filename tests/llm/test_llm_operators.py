@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from loomspan.llm import common, decontaminate, packing, pii, quality_fm, quality_rules, simhash, suffix_dedup, token_count, token_orc, toxicity
 from loomspan.llm.components import components
@@ -169,7 +170,8 @@ def test_simhash(spark, docs, none):
     assert kept.columns == docs.columns and kept.count() == len({find(k) for k in range(len(prints))})
 
 
-def test_links_within_clusters_and_hot_buckets(spark):
+@pytest.mark.parametrize("options", [{}, {"chunk": 7}, {"chunk": 2, "cells": 3}])
+def test_links_within_clusters_and_hot_buckets(spark, options):
     rng = np.random.default_rng(2)
     fps = set()
     for c in rng.integers(0, 1 << 63, 6):
@@ -180,7 +182,7 @@ def test_links_within_clusters_and_hot_buckets(spark):
     fps |= {int(x) for x in rng.integers(0, 1 << 63, 300)}
     own = sorted(fps)
     df = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in own], "fp long")
-    got = {r.node: r.root for r in components(simhash.link(df, chunk=7)).collect()}
+    got = {r.node: r.root for r in components(simhash.link(df, **options)).collect()}
     group = {x: x for x in own}
 
     def find(x):
@@ -200,6 +202,40 @@ def test_links_within_clusters_and_hot_buckets(spark):
     assert got == want
 
 
+def test_cells_are_bounded():
+    parts = simhash._parts(6, 3)
+    assert len(parts) == 20 * 220 and max(64 - (m & (1 << 64) - 1).bit_count() for _, _, m in parts) <= 9
+
+
+def test_coordinates_of_near_fingerprints_agree(spark):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 1 << 64, 300, dtype=np.uint64)
+    y = x.copy()
+    for _ in range(3):
+        y ^= np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)
+    rows_ = [(int(a), int(b)) for a, b in zip(x.view(np.int64), y.view(np.int64), strict=True)]
+    keys = simhash.bucket_keys
+    df = spark.createDataFrame(rows_, "a long, b long").select(keys(F.col("a"), 6, 3).alias("p"), keys(F.col("b"), 6, 3).alias("q"), keys(F.reverse(F.array("a", "b"))[0], 6, 3).alias("r"))
+    for r in df.collect():
+        assert len(r.p) == 20 and any(p == q for p, q in zip(r.p, r.q, strict=True)) and r.q == r.r
+    # Against the bits: a key holds, of each of its pairs of bits, in how many the fingerprint differs from the first pivot.
+    differ = [int(x[0] ^ simhash._FIRST) >> 2 * k & 3 for k in range(32)]
+    codes = []
+    for own in simhash._group_of(6):
+        code = 0
+        for k in own:
+            code = code * 3 + differ[k].bit_count()
+        codes.append(code)
+    assert df.first().p[0] == codes[0] + (codes[1] << 20) + (codes[2] << 40)
+
+
+def test_a_hot_key_is_joined_where_its_rows_are(spark):
+    df = spark.createDataFrame([(k % 50 if k % 3 else -1, k) for k in range(3000)], "key long, v long")
+    counts = df.groupBy("key").agg(F.count("*").alias("n"))
+    got = common.join_spread(df, counts, "key", share=10)
+    assert sorted((r.key, r.v, r.n) for r in got.collect()) == sorted((r.key, r.v, r.n) for r in df.join(counts, "key").collect())
+
+
 def _without_repeats(texts: list[bytes], depth: int = 200) -> list[tuple[int, int, int, str]]:
     times = Counter(hash(t[k : k + depth]) for t in texts for k in range(len(t) - depth + 1))
     out = []
