@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,13 +48,14 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{home}/{uuid.uuid4().hex}/{label}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: lost executors cost nothing that was done before this point."""
+def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: lost executors cost nothing that was done before this point. Texts go
+    best as zstd; of tables of numbers Spark takes the files' size for that of the rows, so they stay less dense."""
     spark = df.sparkSession
     path, old = fresh_path(spark, label), spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, old)
     out = spark.read.schema(df.schema).parquet(path)
@@ -67,13 +70,26 @@ def discard(*frames: DataFrame) -> None:
         fs.delete(path, True)
 
 
-def join_spread(rows: DataFrame, table: DataFrame, key: str, share: int = 1000) -> DataFrame:
-    """rows joined by key with table, whose n says how many rows each of its keys has. Keys with over a share of all rows, fewer than `share`
-    by that, are joined where the rows are, so that no task gets all rows of such a key."""
-    table = materialize(table, "keys")
-    least = (table.agg(F.sum("n")).first()[0] or 0) / share
+def join_spread(rows: DataFrame, table: DataFrame, keys: str | list[str], how: str = "inner", total: int | None = None, share: int = 1000) -> DataFrame:
+    """rows joined by keys (inner, left or left_semi) with table, whose n says how many rows each of its keys has; both are written down.
+    Keys with over a share of all rows (total; if not given, those of table), fewer than `share` by that, are joined where the rows are, so
+    that no task gets all rows of such a key."""
+    keys = [keys] if isinstance(keys, str) else keys
+    least = (table.agg(F.sum("n")).first()[0] or 0 if total is None else total) / share
     hot = F.broadcast(table.where(F.col("n") > least))
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(table.where(F.col("n") <= least), key))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(table.where(F.col("n") <= least), keys, how)
+    return rows.join(hot, keys, "inner" if how == "left" else how).unionByName(rest)
+
+
+def each(column: pa.Array, many: int = 64) -> Iterator[Any]:
+    """The values of a column, a few at a time, so that a batch of texts isn't held twice."""
+    for lo in range(0, len(column), many):
+        yield from column.slice(lo, many).to_pylist()
+
+
+def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes]:
+    """The bytes of a column of texts."""
+    return each(batch.column(name).cast(pa.binary()))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_spread, let, materialize
+from .common import each, join_spread, let, materialize, named, texts
 from .components import components
 
 SEED = 42
@@ -92,7 +92,7 @@ def _sketches(width: int) -> Any:
         for batch in batches:
             names = [x for x in batch.schema.names if x != "text"]
             node, fp, keys = [], [], []
-            for t in batch.column("text").cast(pa.binary()).to_pylist():
+            for t in texts(batch):
                 h = shingles(t, width)
                 own = np.unique(h)
                 node.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
@@ -107,7 +107,7 @@ def _sketches(width: int) -> Any:
 def _sets(width: int) -> Any:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [np.unique(shingles(t, width)).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            own = [np.unique(shingles(t, width)).tobytes() for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(own, pa.binary())], ["fp", "own"])
 
     return run
@@ -117,7 +117,7 @@ def _fingerprints(width: int) -> Any:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = [x for x in batch.schema.names if x != "text"]
-            own = np.array([fingerprint(t, width) for t in batch.column("text").cast(pa.binary()).to_pylist()], np.uint64)
+            own = np.array([fingerprint(t, width) for t in texts(batch)], np.uint64)
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(own.view(np.int64))], [*names, "fp"])
 
     return run
@@ -252,7 +252,7 @@ def _alike_links(most: int, alike: float) -> Any:
 
         for batch in batches:
             cells = zip(*(batch.column(x).to_pylist() for x in ("band", "pair", "key")), strict=True)
-            for cell, fp, bits, own in zip(cells, *(batch.column(x).to_pylist() for x in ("fp", "bits", "own")), strict=True):
+            for cell, fp, bits, own in zip(cells, *(each(batch.column(x)) for x in ("fp", "bits", "own")), strict=True):
                 if cell != at:
                     if len(rows) > 1:
                         yield linked()
@@ -266,15 +266,15 @@ def _alike_links(most: int, alike: float) -> Any:
 
 def link(distinct: DataFrame, *, most: int = 3, groups: int = 6, chunk: int = 512, cells: int | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that connect what differs in at most `most` bits."""
-    cells = comb(PARTS, most) if cells is None else cells
+    choices = comb(PARTS, most)
     bands = distinct.select("fp", F.posexplode(bucket_keys(F.col("fp"), groups, most)).alias("band", "key"))
-    met = materialize(_met(bands.select("fp", F.col("band").cast("long").alias("band"), "key")), "met")
-    own = ["band", "pair", "key", "fp"]
-    dealt = _dealt(met.where(F.col("n") <= chunk * cells), chunk).select(*own)
-    parts = F.broadcast(distinct.sparkSession.createDataFrame(_parts(groups, most), "band long, part long, mask long"))
-    large = met.where(F.col("n") > chunk * cells).join(parts, "band").select("band", (-1 - F.col("part")).alias("pair"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
-    dealt = dealt.unionByName(large).repartition("band", "pair", "key").sortWithinPartitions("band", "pair", "key")
-    return dealt.mapInArrow(_links(most), "a long, b long")
+    met = _met(bands.select("fp", F.col("band").cast("long").alias("band"), "key"))
+    parts = F.slice(F.lit([m for _, _, m in _parts(groups, most)]), (F.col("band") * choices + 1).cast("int"), F.lit(choices))
+    large = F.transform(parts, lambda m, k: named(pair=(-1 - k).cast("long"), key=F.col("fp").bitwiseAND(m)))
+    chunks = F.transform(_pairs(chunk), lambda pair: named(pair=pair, key=F.col("key")))
+    own = F.when(F.col("n") > chunk * (choices if cells is None else cells), large).otherwise(chunks)
+    dealt = met.select("band", "fp", F.inline(own)).repartition("band", "pair", "key").sortWithinPartitions("band", "pair", "key")
+    return dealt.select("band", "pair", "key", "fp").mapInArrow(_links(most), "a long, b long")
 
 
 def _met(bands: DataFrame) -> DataFrame:
@@ -282,16 +282,19 @@ def _met(bands: DataFrame) -> DataFrame:
     return bands.join(bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), ["band", "key"])
 
 
-def _dealt(met: DataFrame, chunk: int) -> DataFrame:
-    """A row for each cell (band, pair, key) that a row of a bucket goes to: its chunk with every chunk."""
-    met = met.withColumn("chunks", F.ceil(F.col("n") / chunk)).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")))
-    pair = lambda k: F.least(F.col("chunk"), k) * F.col("chunks") + F.greatest(F.col("chunk"), k)
-    return met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumn("pair", pair(F.col("other")))
+def _pairs(chunk: int) -> Column:
+    """The cells that a row of a bucket (fp, n) goes to: its chunk with every chunk."""
+    chunks = F.ceil(F.col("n") / chunk)
+
+    def paired(own: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda k: F.least(own, k) * chunks + F.greatest(own, k))
+
+    return let(F.pmod(F.xxhash64("fp"), chunks), paired)
 
 
 def link_alike(bands: DataFrame, sets: DataFrame, *, alike: float, most: int = 24, chunk: int = 512) -> DataFrame:
     """Links (a, b) that connect sets at a similarity of alike or more. bands: fp (the set), bits (its fingerprint), band, key, n; sets: fp, own."""
-    dealt = _dealt(bands, chunk).join(sets, "fp").select("band", "pair", "key", "fp", "bits", "own")
+    dealt = bands.withColumn("pair", F.explode(_pairs(chunk))).join(sets, "fp").select("band", "pair", "key", "fp", "bits", "own")
     dealt = dealt.repartition("band", "pair", "key").sortWithinPartitions("band", "pair", "key")
     return dealt.mapInArrow(_alike_links(most, alike), "a long, b long")
 
@@ -313,7 +316,7 @@ def _named(distinct: DataFrame, links: DataFrame) -> DataFrame:
     """distinct: fp, first, n. fp, n and component_id, the least first of what links connect."""
     parts = materialize(components(links), "parts")
     linked = materialize(parts.join(distinct, parts["node"] == distinct["fp"]).select("fp", "root", "first"), "linked")
-    least = linked.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("n"))
+    least = materialize(linked.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("n")), "least")
     linked = join_spread(linked.select("fp", "root"), least, "root").select("fp", "component")
     return distinct.join(linked, "fp", "left").select("fp", "n", F.coalesce("component", "first").alias("component_id"))
 
@@ -321,7 +324,7 @@ def _named(distinct: DataFrame, links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, width: int = 3, most: int = 3, groups: int = 6, chunk: int = 512) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, fingerprint (16 hex digits), component_id."""
     prints = materialize(fingerprints(docs, "doc_id", width=width), "prints")
-    found = join_spread(prints, cluster(prints, most=most, groups=groups, chunk=chunk), "fp")
+    found = join_spread(prints, materialize(cluster(prints, most=most, groups=groups, chunk=chunk), "clusters"), "fp")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
