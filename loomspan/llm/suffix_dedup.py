@@ -11,8 +11,8 @@ group of windows leaves as soon as a pass shows that it holds one only, or only
    to `depth`; after each digit, groups of one window leave. What is left at the end are the repeated windows.
 
 A group of more than `room` regions doesn't meet in one task. It is dealt anew by its next digits: windows are split by how far the anchor is from
-their start into ranges of a fourth, and what the windows of a range have in common, up to the whole window, is the digit. At
-the last range of one window a group is one of equal windows, and needs no sort.
+their start into ranges of a fourth, and what the windows of a range have in common, up to the whole window, is the digit. What of a run is in
+a range is its region there, and pass 2 is made again. At the last range, of one window, no group holds two regions.
 
 Grams and regions are compared by hashes of 64 bits each, of different functions, bytes from pass 3 on. No window is left out, whatever its
 group's size: groups are counted (before the shuffle too), and only those of bounded size are brought together.
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, each, join_spread, materialize, texts as texts_of
 
 GRAM = 32
 _BLOCK = 1 << 20
@@ -124,7 +124,7 @@ def _regions(depth: int, hot: bool) -> Any:
         for batch in batches:
             ids, hs = batch.column("doc_id"), batch.column("h")
             rows: list[list[Any]] = [[], [], [], [], [], []]
-            for k, (key, text, info) in enumerate(zip(zip(ids.to_pylist(), hs.to_pylist(), strict=True), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("info").to_pylist(), strict=True)):
+            for k, (key, text, info) in enumerate(zip(zip(ids.to_pylist(), hs.to_pylist(), strict=True), texts_of(batch), each(batch.column("info")), strict=True)):
                 if key in met:
                     continue
                 met.add(key)
@@ -232,7 +232,7 @@ def _remove(depth: int, with_text: bool) -> Any:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, n_spans, sha, kept_texts, all_spans = [], [], [], [], []
-            for text, info, starts in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("info").to_pylist(), batch.column("starts").to_pylist(), strict=True):
+            for text, info, starts in zip(texts_of(batch), each(batch.column("info")), each(batch.column("starts")), strict=True):
                 own = [(lo, lo + n + depth - 1) for lo, n, _ in (_unpacked(x["run"]) for x in info or [] if x["repeated"])]
                 spans = merged(own + [(x["start"], x["end"]) for x in starts or []])
                 at, kept = 0, []
@@ -273,17 +273,22 @@ def _split(rows: DataFrame, width: int, depth: int) -> DataFrame:
 
 
 def _parted(hot: DataFrame, depth: int, room: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """hot: rows of groups that are too large for a task. (Rows of groups that aren't any more; windows of groups of equal ones.)"""
-    near, equal, width = [], [], depth - GRAM + 1
+    """hot: rows of groups that are too large for a task. (Rows of groups that aren't any more; spans of rows that are repeated from end to
+    end.)"""
+    near, spans, width = [], [], depth - GRAM + 1
     while width > 1 and not hot.isEmpty():
         width = -(-width // 4)
-        rows = materialize(_split(hot, width, depth), f"split{width}")
-        large = rows.groupBy("digit").agg(F.count("*").alias("n")).where(F.col("n") > room).select("digit")
-        near.append(rows.join(large, "digit", "left_anti").select(*rows.columns))
-        hot = rows.join(large, "digit", "left_semi").select(*rows.columns)
-    if width == 1:
-        equal.append(hot.where("alone").select("doc_id", "h", "start", (F.col("start") + depth).alias("end")))
-    return near, equal
+        rows = materialize(_split(hot, width, depth).withColumn("same", F.md5(F.concat("digit", "region"))), f"split{width}", "zstd")
+        one = F.min(F.struct("doc_id", "h", "start", "anchor", "alone", "region")).alias("one")
+        equal = materialize(rows.groupBy("digit", "same").agg(F.count("*").alias("n"), one), f"equal{width}", "zstd")
+        again = join_spread(rows.where("alone").select("doc_id", "h", "start", F.length("region").alias("size"), "same"), equal.where("n > 1").select("same", "n"), "same", "left_semi", total=rows.count())
+        spans.append(again.select("doc_id", "h", "start", (F.col("start") + F.col("size")).alias("end")))
+        first = equal.select("one.doc_id", "one.h", "digit", "one.start", "one.anchor", (F.col("one.alone") & (F.col("n") == 1)).alias("alone"), "one.region")
+        counts = materialize(equal.groupBy("digit").agg(F.count("*").alias("n")).where("n > 1"), f"counts{width}")
+        met = join_spread(first, counts, "digit", total=equal.count())
+        near.append(met.where(F.col("n") <= room).drop("n"))
+        hot = met.where(F.col("n") > room).drop("n")
+    return near, spans
 
 
 def remove_repeats(docs: DataFrame, *, depth: int = 200, with_text: bool = False, room: int = 512) -> DataFrame:
@@ -300,23 +305,25 @@ def remove_repeats(docs: DataFrame, *, depth: int = 200, with_text: bool = False
     # Pass 2: under a gram of several regions, a region of several runs is repeated; one run of each region goes on.
     mixed = met.where("several")
     regions = materialize(mixed.groupBy("gram", "region").agg(F.count("*").alias("n"), F.min(F.struct("h", "run", "doc_id")).alias("one")), "regions")
-    large = regions.groupBy("gram").agg(F.count("*").alias("m")).where(F.col("m") > room).select("gram", F.lit(True).alias("hot"))
-    one = regions.join(large, "gram", "left").select("one.doc_id", "one.h", F.struct(F.col("one.run").alias("run"), "gram", F.lit(False).alias("repeated"), (F.col("n") == 1).alias("alone"), F.coalesce("hot", F.lit(False)).alias("hot")).alias("x"))
+    large = materialize(regions.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > room), "large")
+    one = join_spread(regions.withColumnRenamed("n", "times"), large, "gram", "left", total=regions.count())
+    one = one.select("one.doc_id", "one.h", F.struct(F.col("one.run").alias("run"), "gram", F.lit(False).alias("repeated"), (F.col("times") == 1).alias("alone"), F.col("n").isNotNull().alias("hot")).alias("x"))
     none = F.lit(None).cast("long")
-    repeated = met.where("not several").select("doc_id", "h", "run").unionByName(mixed.join(regions.where("n > 1").select("gram", "region"), ["gram", "region"], "left_semi").select("doc_id", "h", "run"))
+    repeated = met.where("not several").select("doc_id", "h", "run").unionByName(join_spread(mixed, regions.where("n > 1").select("gram", "region", "n"), ["gram", "region"], "left_semi").select("doc_id", "h", "run"))
     info = repeated.select("doc_id", "h", F.struct("run", none.alias("gram"), F.lit(True).alias("repeated"), F.lit(False).alias("alone"), F.lit(False).alias("hot")).alias("x"))
     info = info.unionByName(one).groupBy("doc_id", "h").agg(F.collect_set("x").alias("info"))  # equal rows have equal runs
     has = F.col("info").isNotNull()
     known = materialize(
         texts.join(info, _same(texts, info), "left").select(texts["doc_id"], texts["h"], "info", F.octet_length("text").cast("long").alias("n_bytes"), F.when(has, F.col("text")).alias("text"), F.when(~has, F.sha2(F.col("text").cast("binary"), 256)).alias("kept_sha256"), *[F.when(~has, F.col("text")).alias("whole")] * with_text),
         "known",
+        "zstd",
     )
     discard(grams, met, regions)
     # Pass 3: the windows of what is left.
     asked = known.where(F.exists("info", lambda x: x["gram"].isNotNull())).select("doc_id", "h", "text", "info")
     kinds = f"doc_id {doc_id}, h long, digit binary, start long, anchor long, alone boolean, region binary"
     hot = asked.where(F.exists("info", lambda x: x["hot"])).mapInArrow(_regions(depth, True), kinds).dropDuplicates(["doc_id", "h", "start"])
-    near, equal = _parted(materialize(hot, "hot"), depth, room)
+    near, equal = _parted(materialize(hot, "hot", "zstd"), depth, room)
     near.append(asked.mapInArrow(_regions(depth, False), kinds))
     met_again = reduce(DataFrame.unionByName, near).repartition("digit").sortWithinPartitions("digit")
     spans = reduce(DataFrame.unionByName, [met_again.mapInArrow(_compare(depth), f"doc_id {doc_id}, h long, start long, end long"), *equal])
