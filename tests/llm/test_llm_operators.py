@@ -387,6 +387,57 @@ def test_toxicity(spark, labelled, docs, none):
     assert toxicity.classify(none, labels).count() == 0
 
 
+def test_noisy_or_and_its_gradient():
+    rng = np.random.default_rng(3)
+    m = toxicity.NoisyOr()
+    m.bias = -2.0
+    m.weight[:12] = rng.normal(size=12)
+    sizes, counts, plain, y = np.array([2, 1, 3, 1, 2]), np.array([2, 0, 3]), np.array([1.0, 2.0, 0.0]), np.array([1.0, 0.0, 0.0])
+    places = rng.integers(0, 12, sizes.sum())
+    z = m.instances(places, sizes)
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    p = [1 / (1 + np.exp(-(m.bias + sum(m.weight[x] for x in places[a:b])))) for a, b in zip(at, at[1:], strict=False)]
+    p0 = 1 / (1 + np.exp(2.0))
+    want = [1 - (1 - p[0]) * (1 - p[1]) * (1 - p0), 1 - (1 - p0) ** 2, 1 - (1 - p[2]) * (1 - p[3]) * (1 - p[4])]
+    assert m.score(z, counts, plain) == pytest.approx(want)
+    loss, touched, gw, gb = m.gradient(places, sizes, counts, plain, y)
+    assert loss == pytest.approx(-(np.log(want[0]) + np.log(1 - want[1]) + np.log(1 - want[2])) / 3)
+
+    def numeric(move):
+        move(1e-5)
+        up = m.gradient(places, sizes, counts, plain, y)[0]
+        move(-2e-5)
+        down = m.gradient(places, sizes, counts, plain, y)[0]
+        move(1e-5)
+        return (up - down) / 2e-5
+
+    for place, g in zip(touched, gw, strict=True):
+        assert numeric(lambda d, k=place: m.weight.__setitem__(k, m.weight[k] + d)) == pytest.approx(g, abs=1e-7)
+    assert numeric(lambda d: setattr(m, "bias", m.bias + d)) == pytest.approx(gb, abs=1e-7)
+
+
+def test_evidence_and_sentences(spark):
+    table = np.array([[30.0, 70.0], [5.0, 395.0]])  # toxic with, without; others with, without
+    n = table.sum()
+    want = 2 * sum(x * np.log(x * n / (table[i].sum() * table[:, j].sum())) for i, r in enumerate(table) for j, x in enumerate(r))
+    got = spark.range(1).select(toxicity.evidence_of(F.lit(35), F.lit(30), 500, 100).alias("g"), toxicity.evidence_of(F.lit(500), F.lit(100), 500, 100).alias("z")).first()
+    assert got.g == pytest.approx(want) and got.z == pytest.approx(0, abs=1e-6)
+    text = "One. two!? ... \n  \n#\nthree"
+    assert [text[a:b] for a, b in toxicity.sentences(text)] == ["One.", " two!?", "three"]
+    assert toxicity.sentences("# " * 500_000) == []
+
+
+@pytest.mark.parametrize("column, classify", [("quality", quality_fm.classify), ("toxic", toxicity.classify)])
+def test_odd_labels(spark, labelled, column, classify):
+    """Null labels and ids, ids with several rows, clashing columns."""
+    df, labels, _ = labelled
+    odd = labels.withColumn("text", F.lit("x")).withColumn("score", F.lit("y")).unionByName(spark.createDataFrame([(1, None, None, "t", "s"), (None, 1, 1, "t", "s"), (2, 0, 1, "t", "s"), (2, 1, 0, "t", "s")], "doc_id long, quality int, toxic int, text string, score string"))
+    got = classify(df.withColumn("quality", F.lit(3)).withColumn("label", F.lit(1)).withColumn("toxic", F.lit(2)), odd).collect()
+    assert len(got) == 700 and all(0 <= r.score <= 1 for r in got)
+    assert classify(df, labels.where(f"{column} = 1")).count() == 700  # one label only
+    assert {r.score for r in classify(df, labels.where("false")).collect()} == {0.5}
+
+
 def _ids(library, t):
     return [*library.encode(t or "", add_special_tokens=False).ids, 2]
 
