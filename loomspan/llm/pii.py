@@ -7,7 +7,8 @@ A base match's kind and value (of cards and phones the digits) are a protected e
 in a text. Over all documents, n(e,t) documents have both term t and entity e, n(t) have t, n(e) have e; of N, the pointwise mutual
 information log2(N n(e,t) / (n(e) n(t))) says how many of the log2(N / n(e)) bits that tell e from others are told by t. A term that
 tells a share of `disclosure` or more of them, in `support` or more different texts, gives the entity away: wherever it occurs in a
-document that holds the entity, outside base spans, it is a span of kind "term". Where n(e,t) / n(t) is `certain` or more it is removed, else generalised.
+document that holds the entity, outside base spans, it is a span of kind "term". It is generalised to its class, the terms with its first
+STEM letters, if the class doesn't tell as much of any entity of the document that the term tells; else (and if it has no more letters) it is removed.
 An entity of fewer than `support` different texts has no such term, whatever it occurs with.
 
 Defined results: a null text is empty; repeated rows get a row each and count each, but not towards support; an empty table gives
@@ -32,6 +33,9 @@ PATTERNS = {
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TERM = r"(?<![\p{L}\p{N}])\p{L}{3,}+(?![\p{L}\p{N}])"
 KINDS = (*PATTERNS, "term")
+STEM = 4
+#: So many terms at most are looked up where the texts are.
+_FEW = 100_000
 _SPAN = "struct<start:int,end:int,value:string>"
 
 
@@ -85,6 +89,18 @@ def _words(t: str) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(TERM), F.lit(0)), F.lower))
 
 
+def _classes(words: Column) -> Column:
+    """The distinct classes of words."""
+    return F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) >= STEM), lambda w: F.substring(w, 1, STEM)))
+
+
+def _documents_with(values: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """values: name, a row for each document that has it. How many documents have each of the values wanted (distinct)."""
+    if wanted.count() <= _FEW:
+        values = values.join(F.broadcast(wanted), name, "left_semi")
+    return values.groupBy(name).agg(F.count("*").alias(f"n_{name}"))
+
+
 def _common(found: DataFrame, support: int) -> DataFrame:
     """entity, n_e of entities in support or more different texts."""
     entities = F.array_distinct(F.concat(*(_entities(k) for k in PATTERNS)))
@@ -101,7 +117,7 @@ def _holders(found: DataFrame, entities: DataFrame, salts: int = 16) -> DataFram
 
 
 def _places(found: DataFrame, told: DataFrame) -> DataFrame:
-    """doc_id, h, terms: where the terms told (doc_id, h, term, removed) occur outside base spans. A row a word, as texts may be long."""
+    """doc_id, h, terms: where the terms told (doc_id, h, term, by) occur outside base spans. A row a word, as texts may be long."""
     key = ["doc_id", "h"]
     every = F.concat(*(F.transform(k, lambda x: named(a=x["start"], b=x["end"])) for k in PATTERNS))
     some = told.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct()
@@ -113,29 +129,46 @@ def _places(found: DataFrame, told: DataFrame) -> DataFrame:
     before = Window.partitionBy(*key).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     words = words.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(before).cast("int")).withColumn("start", F.col("end") - F.col("n"))
     free = ~F.exists("base", lambda b: (b["a"] < F.col("end")) & (F.col("start") < b["b"]))
-    marks = told.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("term").alias("word"), "removed")
+    marks = told.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("term").alias("word"), "by")
     on = (words["h"] == marks["_h"]) & (words["word"] == marks["word"]) & words["doc_id"].eqNullSafe(marks["_d"])
-    spans = words.where(free).join(marks, on).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
+    spans = words.where(free).join(marks, on).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "by"))).alias("terms"))
     return spans
 
 
-def find(docs: DataFrame, *, support: int = 3, disclosure: float = 0.9, certain: float = 0.9) -> tuple[DataFrame, DataFrame]:
-    """(one row per row of docs: doc_id, h (hash of the text), a column of base spans (start, end, value) for each kind, held (the text,
-    if it has any); for each doc_id and h with any: terms (start, end, removed), terms that touch no base span)."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n_terms = texts.select(F.explode(_words("text")).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    staged = with_struct(texts.select("doc_id", F.xxhash64("text").alias("h"), "text"), let(F.col("text"), lambda t: F.struct(*(v.alias(k) for k, v in _base(t).items()))))
-    held = F.when(sum((F.size(k) for k in PATTERNS), F.lit(0)) > 0, F.col("text")).alias("held")
-    found = materialize(staged.select("doc_id", "h", *PATTERNS, held), "found")
+def _tells(n: Column, both: str, entity: str, other: str, disclosure: float) -> Column:
+    """Whether the other tells as much of the entity as gives it away."""
+    told = F.log2(n * F.col(both) / (F.col(entity) * F.col(other)))
+    return (told >= disclosure * F.log2(n / F.col(entity))) & (told > 0)
+
+
+def disclosing(found: DataFrame, texts: DataFrame, *, support: int, disclosure: float) -> DataFrame:
+    """entity, term, by (what the term is replaced by, '' if it is removed), and the counts n_e, n_et, n_term. found: as find() has it; texts: text."""
     n = F.lit(float(found.count()))
     entities = materialize(_common(found, support), "entities")
     by_text = _holders(found, entities).select("h", "entity", F.explode(_words("held")).alias("term")).groupBy("entity", "term", "h").agg(F.count("*").alias("n"))
-    pairs = by_text.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("n").alias("n_et")).where(F.col("texts") >= support)
-    judged = materialize(pairs, "pairs").join(entities, "entity").join(n_terms, "term")
-    told = F.log2(n * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    gives_away = judged.where((told >= disclosure * F.log2(n / F.col("n_e"))) & (told > 0)).select("entity", "term", (F.col("n_et") / F.col("n_t") >= certain).alias("removed"))
-    by_entity = materialize(gives_away, "terms").groupBy("entity").agg(F.collect_list(F.struct("term", "removed")).alias("told"))
-    marked = _holders(found, by_entity).select("doc_id", "h", F.inline("told")).groupBy("doc_id", "h", "term").agg(F.max("removed").alias("removed"))
+    pairs = materialize(by_text.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("n").alias("n_et")).where(F.col("texts") >= support), "pairs")
+    n_terms = _documents_with(texts.select(F.explode(_words("text")).alias("term")), pairs.select("term").distinct(), "term")
+    told = pairs.join(entities, "entity").join(n_terms, "term").where(_tells(n, "n_et", "n_e", "n_term", disclosure))
+    told = materialize(told.select("entity", "term", "n_e", "n_et", "n_term", F.when(F.length("term") > STEM, F.substring("term", 1, STEM)).alias("class")), "told")
+    asked = told.where("class is not null").select("entity", "n_e", "class").distinct()
+    n_classes = _documents_with(texts.select(F.explode(_classes(_words("text"))).alias("class")), asked.select("class").distinct(), "class")
+    held = _holders(found, asked.select("entity").distinct()).select("entity", F.explode(_classes(_words("held"))).alias("class"))
+    both = held.join(asked.select("entity", "class"), ["entity", "class"], "left_semi").groupBy("entity", "class").agg(F.count("*").alias("n_ec"))
+    general = asked.join(both, ["entity", "class"]).join(n_classes, "class").where(~_tells(n, "n_ec", "n_e", "n_class", disclosure)).select("entity", "class", F.lit(True).alias("general"))
+    by = F.when(F.col("general"), F.concat("class", F.lit("*"))).otherwise("")
+    return told.join(general, ["entity", "class"], "left").select("entity", "term", by.alias("by"), "n_e", "n_et", "n_term")
+
+
+def find(docs: DataFrame, *, support: int = 3, disclosure: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """(one row per row of docs: doc_id, h (hash of the text), a column of base spans (start, end, value) for each kind; for each doc_id and h
+    with any: terms (start, end, by), terms that touch no base span)."""
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    staged = with_struct(texts.select("doc_id", F.xxhash64("text").alias("h"), "text"), let(F.col("text"), lambda t: F.struct(*(v.alias(k) for k, v in _base(t).items()))))
+    held = F.when(sum((F.size(k) for k in PATTERNS), F.lit(0)) > 0, F.col("text")).alias("held")
+    found = materialize(staged.select("doc_id", "h", *PATTERNS, held), "found", "zstd")
+    told = materialize(disclosing(found, texts.select("text"), support=support, disclosure=disclosure), "terms")
+    by_entity = told.groupBy("entity").agg(F.collect_list(F.struct("term", "by")).alias("told"))
+    marked = _holders(found, by_entity).select("doc_id", "h", F.inline("told")).groupBy("doc_id", "h", "term").agg(F.min("by").alias("by"))
     return found.drop("held"), _places(found, materialize(marked, "marked"))
 
 
@@ -155,7 +188,7 @@ def _named(kind: str, spans: Column) -> Column:
 def report(docs: DataFrame, **options: float) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms."""
     found, terms = find(docs, **options)
-    none = F.array().cast("array<struct<start:int,end:int,removed:boolean>>")
+    none = F.array().cast("array<struct<start:int,end:int,by:string>>")
     rows = found.join(terms, (found["h"] == terms["h"]) & found["doc_id"].eqNullSafe(terms["doc_id"]), "left").select(found["doc_id"], *PATTERNS, F.coalesce("terms", none).alias("term"))
     base = F.concat(*(_named(k, F.col(k)) for k in PATTERNS))
     return rows.select(
@@ -168,7 +201,7 @@ def report(docs: DataFrame, **options: float) -> DataFrame:
 
 
 def redact(docs: DataFrame, **options: float) -> DataFrame:
-    """docs with base spans replaced by [KIND] and terms by [TERM] or nothing; n_chars, where there is one, is that of the new text."""
+    """docs with base spans replaced by [KIND] and terms by their class (first letters and a star) or nothing; n_chars, where there is one, is that of the new text."""
     p = "__own_"
     while any(c.startswith(p) for c in docs.columns):
         p += "_"
@@ -176,7 +209,7 @@ def redact(docs: DataFrame, **options: float) -> DataFrame:
     # Spans are collected for the few texts that have any; equal rows have equal spans.
     tagged = F.concat(*(_tagged(k) for k in PATTERNS))
     base = found.select(F.col("doc_id").alias(p + "id"), F.col("h").alias(p + "h"), tagged.alias("spans")).where(F.size("spans") > 0).groupBy(p + "id", p + "h").agg(F.first("spans").alias("spans"))
-    other = terms.select("doc_id", "h", F.transform("terms", lambda x: named(start=x["start"], end=x["end"], by=F.when(x["removed"], "").otherwise("[TERM]"))).alias("more"))
+    other = terms.select("doc_id", "h", F.transform("terms", lambda x: named(start=x["start"], end=x["end"], by=x["by"])).alias("more"))
     base = base.join(other, (F.col(p + "h") == other["h"]) & F.col(p + "id").eqNullSafe(other["doc_id"]), "left")
     spans = F.concat("spans", F.coalesce("more", F.array().cast("array<struct<start:int,end:int,by:string>>")))
     base = materialize(base.select(p + "id", p + "h", F.array_sort(spans).alias(p + "spans")), "spans")

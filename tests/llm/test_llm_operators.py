@@ -143,6 +143,62 @@ def test_terms_count_and_are_marked_in_the_whole_document(spark):
     assert not any(re.search(r"(?i)\bquuxly\b|555", r.text or "") for r in pii.redact(df).collect())
 
 
+def test_terms_and_counts_against_a_plain_version(spark):
+    rng = random.Random(13)
+    common, marks = [f"word{k}" for k in range(12)], ["quuxly", "quuxen", "zorblax", "abcd", "vexed"]
+    mails = ["ann@x.org", "bob@x.org", "cy@x.org"]
+    rows_ = []
+    for k in range(90):
+        words = [rng.choice(common) for _ in range(rng.randrange(3, 9))]
+        who = rng.randrange(9)
+        if who < 3:
+            words += [mails[who], marks[who], marks[who].upper() + "s"] + ["abcd"] * (who == 1)
+        if who in (3, 4):
+            words += ["quuxing"] + ["vexed"] * (k % 2)
+        rng.shuffle(words)
+        rows_.append((k if k % 7 else None, " ".join(words)))
+    rows_ += [rows_[3], rows_[3], (500, None), (501, "")]
+    df = spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)
+    support, disclosure, n = 3, 0.9, len(rows_)
+    texts = [t or "" for _, t in rows_]
+    mail, word = re.compile(pii.PATTERNS["email"].replace("\\G", "^")), re.compile(r"(?<![^\W_])[^\W\d_]{3,}(?![^\W_])")
+    entities = [{f"email:{m.group().lower()}" for m in mail.finditer(t)} for t in texts]
+    terms = [{w.lower() for w in word.findall(t)} for t in texts]
+    classes = [{w[: pii.STEM] for w in ws if len(w) >= pii.STEM} for ws in terms]
+
+    def tells(e, x, of):
+        n_e, n_x, n_ex = sum(e in a for a in entities), sum(x in b for b in of), sum(e in a and x in b for a, b in zip(entities, of, strict=True))
+        told = np.log2(n * n_ex / (n_e * n_x))
+        return told > 0 and told >= disclosure * np.log2(n / n_e), n_e, n_ex, n_x
+
+    want, by = set(), {}
+    for e in set().union(*entities):
+        for t in set().union(*terms):
+            if len({x for x, a, b in zip(texts, entities, terms, strict=True) if e in a and t in b}) >= support and (got := tells(e, t, terms))[0]:
+                by[e, t] = f"{t[: pii.STEM]}*" if len(t) > pii.STEM and not tells(e, t[: pii.STEM], classes)[0] else ""
+                want.add((e, t, by[e, t], *got[1:]))
+    found, _ = pii.find(df)
+    held = df.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce("text", F.lit("")).alias("held")).distinct()
+    whole = found.join(held, (found["h"] == held["h"]) & found["doc_id"].eqNullSafe(held["doc_id"])).select(found["*"], F.when(F.size("email") > 0, F.col("held")).alias("held"))
+    got = pii.disclosing(common_materialize(whole), df.select(F.coalesce("text", F.lit("")).alias("text")), support=support, disclosure=disclosure)
+    assert {tuple(r) for r in got.collect()} == want and {x[2] for x in want} >= {"", "quux*"}
+    spans, clean = [], []
+    for t, own in zip(texts, entities, strict=True):
+        base = [(m.start(), m.end(), "[EMAIL]", "email") for m in mail.finditer(t)]
+        more = [(m.start(), m.end(), min(x), "term") for m in word.finditer(t) if (x := [by[e, m.group().lower()] for e in own if (e, m.group().lower()) in by]) and not any(a < m.end() and m.start() < b for a, b, _, _ in base)]
+        spans.append(",".join(f"{k}:{a}:{b}" for a, b, _, k in base + more))
+        at, new = 0, ""
+        for a, b, x, _ in sorted(base + more):
+            new, at = new + t[at:a] + x, b
+        clean.append(new + t[at:])
+    assert sorted((repr(r.doc_id), r.spans) for r in pii.report(df).collect()) == sorted((repr(i), x) for (i, _), x in zip(rows_, spans, strict=True))
+    assert sorted((repr(r.doc_id), r.text or "") for r in pii.redact(df).collect()) == sorted((repr(i), x) for (i, _), x in zip(rows_, clean, strict=True))
+
+
+def common_materialize(df):
+    return common.materialize(df, "test")
+
+
 def test_simhash(spark, docs, none):
     def plain(t):
         ws = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
