@@ -5,8 +5,9 @@ consecutive words of an item; an item of fewer words, but not none, is one windo
 so a text is scanned once, in time linear in its words, and a match is a range of words that maps to places in the
 original text.
 
-The items are a stated query set. They are cut into blocks of at most `block_bytes` of text (or one item), each with an
-automaton of its own that is broadcast; a text passes through the blocks one after another without a shuffle.
+The items are a stated query set. An automaton takes about 105 bytes of a worker's memory for a byte of items (measured), so one holds at most
+`block_bytes` of them (or one item); items beyond go to further automata, each broadcast. A text passes through BLOCKS_A_PASS automata in
+one scan without a shuffle; then what was found is written down, so that a worker holds no more of them.
 
 Defined results: a null or empty text has no words; a null or wordless item has no windows; repeated items with one id count
 as one item, items with equal texts count each; repeated documents get a row each; an empty table gives no rows; other
@@ -25,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import each, materialize, texts
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _HITS = "array<struct<first:int,last:int,item:string>>"
-#: So many blocks are scanned in one pass of the text; then the result is written.
-BLOCKS_A_PASS = 4
+#: So many automata a scan.
+BLOCKS_A_PASS = 2
+BLOCK_BYTES = 2 << 20
 
 
 def windows(text: bytes, width: int) -> list[tuple[bytes, ...]]:
@@ -58,7 +60,7 @@ def build(items: list[tuple[str, bytes]], width: int) -> tuple[Any, dict[bytes,
     return automaton, vocabulary, owners
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=BLOCKS_A_PASS)
 def _built(block: Any, width: int) -> tuple[Any, dict[bytes, int], list[tuple[int, list[str]]]]:
     return build(block.value, width)
 
@@ -86,7 +88,7 @@ def _scan(block: _Block, width: int) -> Any:
         known = vocabulary.get
         for batch in batches:
             hits, n_words = [], []
-            for text, found in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("hits").to_pylist(), strict=True):
+            for text, found in zip(texts(batch), each(batch.column("hits")), strict=True):
                 found = found or []
                 numbers = tuple([known(w, 0) for w in WORD.findall(text.lower())]) if text else ()
                 n_words.append(len(numbers))
@@ -105,7 +107,7 @@ def _conclude(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
         n_hit, items, spans = [], [], []
-        for text, hits in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("hits").to_pylist(), strict=True):
+        for text, hits in zip(texts(batch), each(batch.column("hits")), strict=True):
             if not hits:
                 n_hit.append(0)
                 items.append([])
@@ -148,7 +150,7 @@ def _clean(block: _Block, width: int) -> Any:
         known = vocabulary.get
         for batch in batches:
             stays = []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
+            for text in texts(batch):
                 numbers = tuple([known(w, 0) for w in WORD.findall(text.lower())]) if text and owners else ()
                 stays.append(not numbers or next(iter(automaton.iter(numbers)), None) is None)
             yield batch.filter(pa.array(stays, pa.bool_()))
@@ -156,7 +158,7 @@ def _clean(block: _Block, width: int) -> Any:
     return run
 
 
-def scan(docs: DataFrame, items: DataFrame, *, width: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
+def scan(docs: DataFrame, items: DataFrame, *, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_words, n_hit, items (ids with occurring windows, sorted as strings) and spans
     (hit runs as code points of the original text, end exclusive). items: item_id, text."""
     spark = docs.sparkSession
@@ -170,7 +172,7 @@ def scan(docs: DataFrame, items: DataFrame, *, width: int = 10, block_bytes: int
             return at.mapInArrow(lambda batches, step=step: _conclude(step(batches)), f"doc_id {doc_id}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
         at = at.mapInArrow(step, schema)
         if k % BLOCKS_A_PASS == BLOCKS_A_PASS - 1:
-            at = materialize(at, f"scanned{k}")
+            at = materialize(at, f"scanned{k}", "zstd")
     raise AssertionError("there is at least one block")
 
 
@@ -187,9 +189,12 @@ def report(docs: DataFrame, items: DataFrame, **options: int) -> DataFrame:
     )
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, *, width: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, *, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs without an occurring window, with all their columns; a text is scanned where it is, without a shuffle."""
     spark = docs.sparkSession
-    for _, block in _blocks(spark, items, block_bytes):
+    blocks = _blocks(spark, items, block_bytes)
+    for k, block in blocks:
         docs = docs.mapInArrow(_clean(block, width), docs.schema)
+        if k % BLOCKS_A_PASS == BLOCKS_A_PASS - 1 and k < len(blocks) - 1:
+            docs = materialize(docs, f"clean{k}", "zstd")
     return docs

@@ -79,6 +79,9 @@ def test_decontamination(spark, docs, none):
     assert TEXTS[15][spans[15][0].start : spans[15][0].end] == ITEM
     clean = [i for i, t in ROWS if not plain(t)[-1]]
     assert Counter(r.doc_id for r in decontaminate.keep_clean(docs, table).collect()) == Counter(clean)
+    odd = table.withColumn("hits", F.lit(1)).withColumn("doc_id", F.lit("x"))  # clashing columns
+    assert Counter(r.doc_id for r in decontaminate.keep_clean(docs, odd, block_bytes=200).collect()) == Counter(clean)
+    assert rows(decontaminate.report(docs, odd), *columns) == want
     assert decontaminate.report(none, table).count() == 0 and decontaminate.report(docs, table.limit(0)).where("contaminated").count() == 0
 
 
