@@ -8,7 +8,8 @@ in a text. Over all documents, n(e,t) documents have both term t and entity e, n
 information log2(N n(e,t) / (n(e) n(t))) says how many of the log2(N / n(e)) bits that tell e from others are told by t. A term that
 tells a share of `disclosure` or more of them, in `support` or more different texts, gives the entity away: wherever it occurs in a
 document that holds the entity, outside base spans, it is a span of kind "term". It is generalised to its class, the terms with its first
-STEM letters, if the class doesn't tell as much of any entity of the document that the term tells; else (and if it has no more letters) it is removed.
+STEM letters, if the class doesn't tell as much of the entity; else (and if it has no more letters) it is removed. A class's n(c) and n(e,c)
+are the sums of its terms' n(t) and n(e,t).
 An entity of fewer than `support` different texts has no such term, whatever it occurs with.
 
 Defined results: a null text is empty; repeated rows get a row each and count each, but not towards support; an empty table gives
@@ -34,8 +35,6 @@ _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TERM = r"(?<![\p{L}\p{N}])\p{L}{3,}+(?![\p{L}\p{N}])"
 KINDS = (*PATTERNS, "term")
 STEM = 4
-#: So many terms at most are looked up where the texts are.
-_FEW = 100_000
 _SPAN = "struct<start:int,end:int,value:string>"
 
 
@@ -89,18 +88,6 @@ def _words(t: str) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def _classes(words: Column) -> Column:
-    """The distinct classes of words."""
-    return F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) >= STEM), lambda w: F.substring(w, 1, STEM)))
-
-
-def _documents_with(values: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
-    """values: name, a row for each document that has it. How many documents have each of the values wanted (distinct)."""
-    if wanted.count() <= _FEW:
-        values = values.join(F.broadcast(wanted), name, "left_semi")
-    return values.groupBy(name).agg(F.count("*").alias(f"n_{name}"))
-
-
 def _common(found: DataFrame, support: int) -> DataFrame:
     """entity, n_e of entities in support or more different texts."""
     entities = F.array_distinct(F.concat(*(_entities(k) for k in PATTERNS)))
@@ -143,17 +130,21 @@ def _tells(n: Column, both: str, entity: str, other: str, disclosure: float) ->
 
 def disclosing(found: DataFrame, texts: DataFrame, *, support: int, disclosure: float) -> DataFrame:
     """entity, term, by (what the term is replaced by, '' if it is removed), and the counts n_e, n_et, n_term. found: as find() has it; texts: text."""
+    spark = found.sparkSession
     n = F.lit(float(found.count()))
     entities = materialize(_common(found, support), "entities")
-    by_text = _holders(found, entities).select("h", "entity", F.explode(_words("held")).alias("term")).groupBy("entity", "term", "h").agg(F.count("*").alias("n"))
-    pairs = materialize(by_text.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("n").alias("n_et")).where(F.col("texts") >= support), "pairs")
-    n_terms = _documents_with(texts.select(F.explode(_words("text")).alias("term")), pairs.select("term").distinct(), "term")
-    told = pairs.join(entities, "entity").join(n_terms, "term").where(_tells(n, "n_et", "n_e", "n_term", disclosure))
-    told = materialize(told.select("entity", "term", "n_e", "n_et", "n_term", F.when(F.length("term") > STEM, F.substring("term", 1, STEM)).alias("class")), "told")
+    by_text = _holders(found, entities).select("h", "entity", "n_e", F.explode(_words("held")).alias("term")).groupBy("entity", "n_e", "term", "h").agg(F.count("*").alias("n"))
+    pairs = materialize(by_text.groupBy("entity", "n_e", "term").agg(F.count("*").alias("texts"), F.sum("n").alias("n_et")), "pairs")
+    out = "entity string, term string, by string, n_e long, n_et long, n_term long"
+    if pairs.where(F.col("texts") >= support).isEmpty():  # nothing to look up in the texts
+        return spark.createDataFrame([], out)
+    terms = materialize(texts.select(F.explode(_words("text")).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")), "vocabulary")
+    stem = F.when(F.length("term") >= STEM, F.substring("term", 1, STEM)).alias("class")
+    told = pairs.where(F.col("texts") >= support).join(terms, "term").where(_tells(n, "n_et", "n_e", "n_term", disclosure))
+    told = materialize(told.select("entity", "term", "n_e", "n_et", "n_term", F.when(F.length("term") > STEM, stem).alias("class")), "told")
     asked = told.where("class is not null").select("entity", "n_e", "class").distinct()
-    n_classes = _documents_with(texts.select(F.explode(_classes(_words("text"))).alias("class")), asked.select("class").distinct(), "class")
-    held = _holders(found, asked.select("entity").distinct()).select("entity", F.explode(_classes(_words("held"))).alias("class"))
-    both = held.join(asked.select("entity", "class"), ["entity", "class"], "left_semi").groupBy("entity", "class").agg(F.count("*").alias("n_ec"))
+    n_classes = terms.select(stem, "n_term").where("class is not null").groupBy("class").agg(F.sum("n_term").alias("n_class"))
+    both = pairs.select("entity", stem, "n_et").where("class is not null").groupBy("entity", "class").agg(F.sum("n_et").alias("n_ec"))
     general = asked.join(both, ["entity", "class"]).join(n_classes, "class").where(~_tells(n, "n_ec", "n_e", "n_class", disclosure)).select("entity", "class", F.lit(True).alias("general"))
     by = F.when(F.col("general"), F.concat("class", F.lit("*"))).otherwise("")
     return told.join(general, ["entity", "class"], "left").select("entity", "term", by.alias("by"), "n_e", "n_et", "n_term")

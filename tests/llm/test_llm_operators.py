@@ -167,10 +167,10 @@ def test_terms_and_counts_against_a_plain_version(spark):
     mail, word = re.compile(pii.PATTERNS["email"].replace("\\G", "^")), re.compile(r"(?<![^\W_])[^\W\d_]{3,}(?![^\W_])")
     entities = [{f"email:{m.group().lower()}" for m in mail.finditer(t)} for t in texts]
     terms = [{w.lower() for w in word.findall(t)} for t in texts]
-    classes = [{w[: pii.STEM] for w in ws if len(w) >= pii.STEM} for ws in terms]
+    classes = [[w[: pii.STEM] for w in ws if len(w) >= pii.STEM] for ws in terms]
 
     def tells(e, x, of):
-        n_e, n_x, n_ex = sum(e in a for a in entities), sum(x in b for b in of), sum(e in a and x in b for a, b in zip(entities, of, strict=True))
+        n_e, n_x, n_ex = sum(e in a for a in entities), sum(list(b).count(x) for b in of), sum((e in a) * list(b).count(x) for a, b in zip(entities, of, strict=True))
         told = np.log2(n * n_ex / (n_e * n_x))
         return told > 0 and told >= disclosure * np.log2(n / n_e), n_e, n_ex, n_x
 
