@@ -18,7 +18,8 @@ of 2 ** 9 different fingerprints at most. So a row has a bounded number of cells
 keep_one(alike=...) links by the texts themselves: two are linked if the Jaccard similarity of their sets of shingles is `alike` or more.
 Fingerprints at that similarity are too far apart for blocks of bits (about 10 bits at 0.8), so buckets are BANDS bands of ROWS least
 hashes of the set; in a bucket the pivots and the distance `most` leave candidates, and the sets of shingles decide. At a similarity of 0.8
-a pair has no common bucket with probability 3e-6 ((1 - 0.8 ** ROWS) ** BANDS), less above it. Texts of equal sets are one node.
+a pair has no common bucket with probability 3e-6 ((1 - 0.8 ** ROWS) ** BANDS), less above it. Texts of equal sets are one node. What of a
+bucket hangs together by its bits is a cell, of which there is one however many buckets hold it; only then do the sets come.
 
 Defined results: a null, empty or blank text has fingerprint zero and is linked like any other; repeated rows get a row each; a component's
 id is its least doc_id (null if it has none); an empty table gives no rows; other columns are ignored.
@@ -106,9 +107,16 @@ def _sketches(width: int) -> Any:
 
 def _sets(width: int) -> Any:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of equal rows of a task, one gets its set."""
+        seen: set[int] = set()
         for batch in batches:
-            own = [np.unique(shingles(t, width)).tobytes() for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(own, pa.binary())], ["fp", "own"])
+            fps, own = [], []
+            for fp, t in zip(batch.column("fp").to_pylist(), texts(batch), strict=True):
+                if fp not in seen:
+                    seen.add(fp)
+                    fps.append(fp)
+                    own.append(np.unique(shingles(t, width)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(own, pa.binary())], ["fp", "own"])
 
     return run
 
@@ -199,31 +207,55 @@ def near_links(cell: np.ndarray, fp: np.ndarray, most: int, pivots: np.ndarray =
     return out
 
 
-def _links(most: int) -> Any:
+def _by_cell(columns: tuple[str, ...], of: Any) -> Any:
+    """of(cells, rows) for whole cells; rows come sorted by band, pair, key, and the last cell of a batch waits for the next."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by cell; the last cell of a batch waits for the next."""
-        left: tuple[np.ndarray, ...] = (np.empty(0, np.int64),) * 4
+        names = ("band", "pair", "key", *columns)
+        left: tuple[np.ndarray, ...] = (np.empty(0, np.int64),) * len(names)
 
-        def linked(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        def whole(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
             change = np.any([x[1:] != x[:-1] for x in rows[:3]], axis=0)
-            fp = rows[3].view(np.uint64)
-            to = near_links(np.concatenate(([0], np.cumsum(change))), fp, most)
-            moved = to != np.arange(len(to))
-            return pa.RecordBatch.from_arrays([pa.array(rows[3][moved]), pa.array(rows[3][to[moved]])], ["a", "b"])
+            return of(np.concatenate(([0], np.cumsum(change))), *rows[3:])
 
         for batch in batches:
-            rows = tuple(np.concatenate((old, batch.column(x).to_numpy())) for old, x in zip(left, ("band", "pair", "key", "fp"), strict=True))
+            rows = tuple(np.concatenate((old, batch.column(x).to_numpy())) for old, x in zip(left, names, strict=True))
             same = np.all([x == x[-1] for x in rows[:3]], axis=0)
             cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
             left = tuple(x[cut:] for x in rows)
             if cut:
-                yield linked(tuple(x[:cut] for x in rows))
-        if len(left[3]):
-            yield linked(left)
+                yield whole(tuple(x[:cut] for x in rows))
+        if len(left[0]):
+            yield whole(left)
 
     return run
 
 
+def _links(most: int) -> Any:
+    def linked(cell: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        to = near_links(cell, fp.view(np.uint64), most)
+        moved = to != np.arange(len(to))
+        return pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[to[moved]])], ["a", "b"])
+
+    return _by_cell(("fp",), linked)
+
+
+def _near_cells(most: int) -> Any:
+    """Rows of a cell that hang together by their bits, as a cell of their own, named by a hash of its rows: what meets in several buckets
+    is one cell."""
+
+    def parted(cell: np.ndarray, fp: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+        to = near_links(cell, bits.view(np.uint64), most)
+        order = np.lexsort((fp, to))
+        _, first, many = np.unique(to[order], return_index=True, return_counts=True)
+        kept = [order[a : a + n] for a, n in zip(first[many > 1], many[many > 1], strict=True)]
+        names = np.array([xxhash.xxh64_intdigest(fp[own].tobytes(), SEED) for own in kept], np.uint64).view(np.int64)
+        rows = np.concatenate([np.empty(0, np.int64), *kept])
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(names, [len(x) for x in kept])), pa.array(fp[rows]), pa.array(bits[rows])], ["cell", "fp", "bits"])
+
+    return _by_cell(("fp", "bits"), parted)
+
+
 def similar(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, alike: float) -> np.ndarray:
     """Of pairs of sets (sorted arrays), which have a Jaccard similarity of alike or more."""
 
@@ -240,7 +272,7 @@ def similar(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, alike: float)
 def _alike_links(most: int, alike: float) -> Any:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by cell, which may go on in the next batch."""
-        at: tuple[int, ...] | None = None
+        at: int | None = None
         rows: list[tuple[int, int, bytes]] = []
 
         def linked() -> pa.RecordBatch:
@@ -251,8 +283,7 @@ def _alike_links(most: int, alike: float) -> Any:
             return pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[to[moved]])], ["a", "b"])
 
         for batch in batches:
-            cells = zip(*(batch.column(x).to_pylist() for x in ("band", "pair", "key")), strict=True)
-            for cell, fp, bits, own in zip(cells, *(each(batch.column(x)) for x in ("fp", "bits", "own")), strict=True):
+            for cell, fp, bits, own in zip(*(each(batch.column(x)) for x in ("cell", "fp", "bits", "own")), strict=True):
                 if cell != at:
                     if len(rows) > 1:
                         yield linked()
@@ -292,11 +323,17 @@ def _pairs(chunk: int) -> Column:
     return let(F.pmod(F.xxhash64("fp"), chunks), paired)
 
 
-def link_alike(bands: DataFrame, sets: DataFrame, *, alike: float, most: int = 24, chunk: int = 512) -> DataFrame:
-    """Links (a, b) that connect sets at a similarity of alike or more. bands: fp (the set), bits (its fingerprint), band, key, n; sets: fp, own."""
-    dealt = bands.withColumn("pair", F.explode(_pairs(chunk))).join(sets, "fp").select("band", "pair", "key", "fp", "bits", "own")
+def near_cells(bands: DataFrame, *, most: int, chunk: int = 512) -> DataFrame:
+    """bands: fp (a set), bits (its fingerprint), band, key, n. cell, fp, bits: the sets that buckets leave to be compared, each cell once."""
+    dealt = bands.withColumn("pair", F.explode(_pairs(chunk))).select("band", "pair", "key", "fp", "bits")
     dealt = dealt.repartition("band", "pair", "key").sortWithinPartitions("band", "pair", "key")
-    return dealt.mapInArrow(_alike_links(most, alike), "a long, b long")
+    return dealt.mapInArrow(_near_cells(most), "cell long, fp long, bits long").distinct()
+
+
+def link_alike(cells: DataFrame, sets: DataFrame, *, alike: float, most: int) -> DataFrame:
+    """Links (a, b) that connect sets (fp, own) of a cell at a similarity of alike or more."""
+    own = cells.join(sets, "fp").select("cell", "fp", "bits", "own").repartition("cell").sortWithinPartitions("cell")
+    return own.mapInArrow(_alike_links(most, alike), "a long, b long")
 
 
 def fingerprints(docs: DataFrame, *ids: str | Column, width: int = 3) -> DataFrame:
@@ -332,12 +369,11 @@ def cluster_alike(docs: DataFrame, prints: DataFrame, ids: list[str], *, width:
     """Per distinct set of shingles (fp of prints): fp, component_id. ids name the columns that docs and prints share; docs has text, too."""
     one = F.min(F.struct(*ids)).alias("one")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("bits").alias("bits"), one, F.first("keys").alias("keys"), F.count("*").alias("n")), "distinct")
-    bands = distinct.select("fp", "bits", "one", F.posexplode("keys").alias("band", "key"))
-    met = materialize(_met(bands.withColumn("band", F.col("band").cast("long"))), "met")
-    wanted = met.select("fp", "one.*").distinct()
-    texts = docs.select(*ids, "text").join(wanted, ids).dropDuplicates(["fp"]).select("fp", "text")
-    sets = materialize(texts.mapInArrow(_sets(width), "fp long, own binary"), "sets")
-    return _named(distinct.select("fp", "first", "n"), link_alike(met.drop("one"), sets, alike=alike, most=most, chunk=chunk))
+    bands = distinct.select("fp", "bits", F.posexplode("keys").alias("band", "key"))
+    cells = materialize(near_cells(_met(bands.withColumn("band", F.col("band").cast("long"))), most=most, chunk=chunk), "cells")
+    wanted = cells.select("fp").distinct().join(distinct, "fp").select("fp", "one.*")
+    sets = materialize(docs.select(*ids, "text").join(wanted, ids).select("fp", "text").mapInArrow(_sets(width), "fp long, own binary"), "sets")
+    return _named(distinct.select("fp", "first", "n"), link_alike(cells, sets, alike=alike, most=most))
 
 
 def keep_one(docs: DataFrame, *, width: int = 3, alike: float | None = None, **options: int) -> DataFrame:
@@ -358,4 +394,7 @@ def keep_one(docs: DataFrame, *, width: int = 3, alike: float | None = None, **o
     first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(k), F.col(h))).alias("w"))
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), "fp"))
     won = first.join(found, "fp").groupBy(group.alias("g")).agg(F.min("w").alias("w")).select(f"w.{k}", f"w.{h}")
-    return keyed.join(won, [k, h]).dropDuplicates([k, h]).select(*docs.columns)
+    times = f"__n_{len(docs.columns)}"
+    won = materialize(won.join(prints.groupBy(k, h).agg(F.count("*").alias(times)), [k, h]), "won")
+    repeated = keyed.join(won.where(F.col(times) > 1), [k, h]).dropDuplicates([k, h])  # rows equal in id and text
+    return keyed.join(won.where(F.col(times) == 1), [k, h]).unionByName(repeated).select(*docs.columns)
