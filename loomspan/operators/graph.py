@@ -13,10 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_folder(spark: SparkSession) -> None:
-    """Checkpoints go to spark.checkpoint.dir; where that is unset, to a folder of this machine."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomspan-"))
+def shared_folder(spark: SparkSession) -> str:
+    """Where checkpoints go: spark.checkpoint.dir; where that is unset, a folder of this machine, if all runs on one."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_loomspan_folder", None)
+    if not root:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = sc._loomspan_folder = tempfile.mkdtemp(prefix="loomspan-")
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(root)
+    return root
 
 
 def reach(edges: DataFrame, seeds: Sequence[str], depth: int, cap: int = 50, extra: Sequence[str] = (), goes_on: DataFrame | None = None) -> DataFrame:

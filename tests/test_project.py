@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan import cli
-from loomspan.plans import code_queries, context, facts, fixture, index, render
+from loomspan.plans import code_queries, context, facts, fixture, generated, index, render
 from loomspan.sources import files, store
 from loomspan.plans.resolve import Resolution
 from loomspan.sources.modules import Resolver
@@ -25,6 +25,19 @@ def test_code_queries(spark, name):
     assert sorted(tuple(r[c] for c in cols) for r in got.collect()) == sorted(tuple(r[i] for i in order) for r in want.fetchall())
 
 
+@pytest.mark.parametrize("name", list(generated.SQL))
+def test_project_queries(spark, tmp_path, name):
+    """On small tables; the driver has larger ones."""
+    con = duckdb.connect()
+    con.sql("CREATE TABLE region AS SELECT range AS r_regionkey FROM range(2); CREATE TABLE nation AS SELECT range AS n_nationkey, range % 2 AS n_regionkey FROM range(5); CREATE TABLE customer AS SELECT range AS c_custkey, range % 5 AS c_nationkey FROM range(40)")
+    for t in ("region", "nation", "customer"):
+        con.sql(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    got, want = generated.QUERIES[name](spark, str(tmp_path)), con.sql(generated.SQL[name])
+    cols = sorted(got.columns)
+    order = [want.columns.index(c) for c in cols]
+    assert sorted(tuple(r[c] for c in cols) for r in got.collect()) == sorted(tuple(r[i] for i in order) for r in want.fetchall())
+
+
 def _slice(spark, name, **options):
     f, _, links, refs = code_queries.project(spark)
     return context.extract(f, links, f.symbols.where(f"name = '{name}'").first().id, context.Options(**options), refs)
