@@ -1,13 +1,13 @@
 """Bounded reachability and closures over edge tables.
 
 Recursive SQL can't drop what was visited or keep the first k of a level, so levels are a loop on the driver. With a cap, a frontier has
-at most that many ids, which is all the driver ever holds: they go back as an IN list that Parquet scans can prune by. Without a cap, levels
+at most that many ids, which is all the driver ever holds: they go back as an IN list; where ids are made from columns, near() puts it on these, so that Parquet scans can prune by it. Without a cap, levels
 stay DataFrames and are checkpointed."""
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,12 +26,12 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
-def reach(edges: DataFrame, seeds: Sequence[str], depth: int, cap: int = 50, extra: Sequence[str] = (), goes_on: DataFrame | None = None) -> DataFrame:
+def reach(edges: DataFrame, seeds: Sequence[str], depth: int, cap: int = 50, extra: Sequence[str] = (), goes_on: DataFrame | None = None, near: Callable[[list[str]], DataFrame] | None = None) -> DataFrame:
     """Level by level from seeds along edges (src, dst, and extra columns): id, depth, and for each extra column its distinct
     values on the edges that found the id at that level, sorted.
 
     Of a level, the cap least ids are kept (0: all); only these count as visited, so an id that was cut off may come back deeper. With
-    goes_on (id), only ids in it are expanded."""
+    goes_on (id), only ids in it are expanded. near, if given, says which edges leave some ids, so that a level reads only those."""
     spark = edges.sparkSession
     found = {x: F.array_sort(F.collect_set(x)).alias(x) for x in extra}
     visited, frontier, levels = set(seeds), sorted(set(seeds)), []
@@ -40,8 +40,8 @@ def reach(edges: DataFrame, seeds: Sequence[str], depth: int, cap: int = 50, ext
         for level in range(1, depth + 1):
             if not frontier:
                 break
-            near = edges.where(F.col("src").isin(frontier) & ~F.col("dst").isin(sorted(visited)))
-            rows = near.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("_n"), *found.values()).orderBy("id").limit(cap).drop("_n").collect()
+            front = edges.where(F.col("src").isin(frontier)) if near is None else near(frontier)
+            rows = front.where(~F.col("dst").isin(sorted(visited))).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("_n"), *found.values()).orderBy("id").limit(cap).drop("_n").collect()
             levels += [(r["id"], level, *(r[x] for x in extra)) for r in rows]
             ids = [r["id"] for r in rows]
             visited.update(ids)
@@ -51,8 +51,8 @@ def reach(edges: DataFrame, seeds: Sequence[str], depth: int, cap: int = 50, ext
     seen = spark.createDataFrame([(x,) for x in frontier], "id string").withColumn("id", F.col("id").cast(schema["id"].dataType))
     front, out = seen, spark.createDataFrame([], schema)
     for level in range(1, depth + 1):
-        near = edges.join(front.select(F.col("id").alias("src")), "src").join(seen.select(F.col("id").alias("dst")), "dst", "left_anti")
-        rows = near.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("_n"), *found.values()).drop("_n").select("id", F.lit(level).alias("depth"), *extra).checkpoint()
+        met = edges.join(front.select(F.col("id").alias("src")), "src").join(seen.select(F.col("id").alias("dst")), "dst", "left_anti")
+        rows = met.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("_n"), *found.values()).drop("_n").select("id", F.lit(level).alias("depth"), *extra).checkpoint()
         if rows.isEmpty():
             break
         out = out.unionByName(rows)

@@ -37,7 +37,7 @@ def more_than_one(rows: DataFrame, keys: Sequence[str], count: str = "n") -> Dat
 def whole_word(text: Column, word: str) -> Column:
     """word occurs in text between characters that can't belong to an identifier (ASCII letters, digits, _ and $)."""
     quoted = "".join(c if c.isalnum() or c == "_" else f"\\{c}" for c in word)
-    return text.rlike(f"(^|[^A-Za-z0-9_$]){quoted}([^A-Za-z0-9_$]|$)")
+    return text.contains(word) & text.rlike(f"(?<![A-Za-z0-9_$]){quoted}(?![A-Za-z0-9_$])")
 
 
 def matching(rows: DataFrame, kinds: Sequence[str] | None = None, kind: str = "kind", **patterns: str | None) -> DataFrame:

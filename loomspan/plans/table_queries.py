@@ -82,10 +82,11 @@ def line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def offset_to_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = t(spark, sf_dir, "documents")
     size = F.octet_length("text")
-    offsets = docs.where(size > 0).select("doc_id", F.explode(F.sequence(F.lit(0), size - 1, F.lit(97))).alias("offset"))
-    return intervals.offsets_to_lines(offsets, intervals.lines(docs, "doc_id", "text"), "doc_id")
+    return intervals.lines_at(docs.where(size > 0).withColumn("offsets", F.sequence(F.lit(0), size - 1, F.lit(97))), "doc_id", "text", "offsets")
 
 
+#: In microseconds.
+_DAY = 86_400_000_000
 _EVENT_SPANS = """WITH e AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS s, epoch_us(ts) + (event_id % 50 + 1) * 600000000 AS x FROM events) """
 
 
@@ -99,7 +100,7 @@ _MERGE = "SELECT user_id, min(s) AS \"start\", max(x) AS \"end\" FROM (SELECT *,
 
 @query(_EVENT_SPANS + _MERGE.format("e"))
 def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.merge(_spans(spark, sf_dir), ["user_id"])
+    return intervals.merge(_spans(spark, sf_dir), ["user_id"], width=_DAY)
 
 
 @query(
@@ -124,7 +125,7 @@ def smallest_enclosing(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = _spans(spark, sf_dir)
     points = spans.where("event_type = 'click'").select("user_id", F.col("event_id").alias("point_id"), F.col("start").alias("ps"), (F.col("start") + 1).alias("pe"))
     views = spans.where("event_type = 'view'").withColumnRenamed("event_id", "span_id")
-    return intervals.smallest_enclosing(points, views, ["user_id"], ("ps", "pe"), ("start", "end"), "point_id", "span_id")
+    return intervals.smallest_enclosing(points, views, ["user_id"], ("ps", "pe"), ("start", "end"), "point_id", "span_id", width=_DAY)
 
 
 # ---- names
@@ -227,10 +228,10 @@ def header_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("o_orderkey", F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" {\n"), F.array_join(members, "\n"), F.lit("\n}")).alias("header"))
 
 
-@query("WITH v(kind) AS (VALUES ('A'), ('B')) SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Promise<Promise<' || c_mktsegment || '<x>>>' WHEN 1 THEN c_mktsegment || '[]' WHEN 2 THEN 'Promise<' || c_mktsegment || '>' ELSE c_mktsegment END AS raw, CASE c_custkey % 4 WHEN 1 THEN c_mktsegment || '[]' ELSE c_mktsegment END AS base FROM customer")
+@query("WITH v(kind) AS (VALUES ('A'), ('B')) SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'Promise<Promise<' || c_mktsegment || '<x>>>' WHEN 1 THEN c_mktsegment || '[]' WHEN 2 THEN 'Promise<' || c_mktsegment || '>' WHEN 3 THEN 'Promise<' || c_mktsegment || '> | B' ELSE c_mktsegment END AS raw, CASE c_custkey % 5 WHEN 1 THEN c_mktsegment || '[]' WHEN 3 THEN 'Promise' ELSE c_mktsegment END AS base FROM customer")
 def generic_stripping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, x = F.col("c_custkey") % 4, F.col("c_mktsegment")
-    raw = F.when(k == 0, F.concat(F.lit("Promise<Promise<"), x, F.lit("<x>>>"))).when(k == 1, F.concat(x, F.lit("[]"))).when(k == 2, F.concat(F.lit("Promise<"), x, F.lit(">"))).otherwise(x)
+    k, x = F.col("c_custkey") % 5, F.col("c_mktsegment")
+    raw = F.when(k == 0, F.concat(F.lit("Promise<Promise<"), x, F.lit("<x>>>"))).when(k == 1, F.concat(x, F.lit("[]"))).when(k == 2, F.concat(F.lit("Promise<"), x, F.lit(">"))).when(k == 3, F.concat(F.lit("Promise<"), x, F.lit("> | B"))).otherwise(x)
     return t(spark, sf_dir, "customer").select("c_custkey", raw.alias("raw")).withColumn("base", strip_generics(F.col("raw")))
 
 
@@ -239,14 +240,23 @@ def generic_stripping(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EDGES = "WITH g AS (SELECT 'c#' || o_custkey AS src, 'o#' || o_orderkey AS dst, o_orderstatus AS flag FROM orders UNION ALL SELECT 'o#' || l_orderkey, 'p#' || l_partkey, l_returnflag FROM lineitem UNION ALL SELECT 'p#' || l_partkey, 's#' || l_suppkey, l_returnflag FROM lineitem)"
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def name(kind: str, column: str) -> F.Column:
-        return F.concat(F.lit(kind), F.col(column).cast("string"))
+#: What edges are made of: kinds of source and target, table, their columns, the flag's.
+_PARTS = (("c#", "o#", "orders", "o_custkey", "o_orderkey", "o_orderstatus"), ("o#", "p#", "lineitem", "l_orderkey", "l_partkey", "l_returnflag"), ("p#", "s#", "lineitem", "l_partkey", "l_suppkey", "l_returnflag"))
 
-    o, li = t(spark, sf_dir, "orders"), t(spark, sf_dir, "lineitem")
-    first = o.select(name("c#", "o_custkey").alias("src"), name("o#", "o_orderkey").alias("dst"), F.col("o_orderstatus").alias("flag"))
-    second = li.select(name("o#", "l_orderkey").alias("src"), name("p#", "l_partkey").alias("dst"), F.col("l_returnflag").alias("flag"))
-    return first.unionByName(second).unionByName(li.select(name("p#", "l_partkey").alias("src"), name("s#", "l_suppkey").alias("dst"), F.col("l_returnflag").alias("flag")))
+
+def _edges(spark: SparkSession, sf_dir: str, ids: list[str] | None = None) -> DataFrame:
+    """All edges, or those that leave ids: tables without any of their kind aren't read, the others by their own columns."""
+    out = None
+    for src, dst, table, a, b, flag in _PARTS:
+        rows = t(spark, sf_dir, table)
+        if ids is not None:
+            own = [int(x[2:]) for x in ids if x.startswith(src)]
+            if not own:
+                continue
+            rows = rows.where(F.col(a).isin(own))
+        rows = rows.select(F.concat(F.lit(src), F.col(a).cast("string")).alias("src"), F.concat(F.lit(dst), F.col(b).cast("string")).alias("dst"), F.col(flag).alias("flag"))
+        out = rows if out is None else out.unionByName(rows)
+    return spark.createDataFrame([], "src string, dst string, flag string") if out is None else out
 
 
 def _levels(seeds: str, src: str, dst: str, depth: int, cap: int, flags: bool = False) -> str:
@@ -262,7 +272,7 @@ def _levels(seeds: str, src: str, dst: str, depth: int, cap: int, flags: bool =
 
 @query(_levels("'c#1', 'c#2'", "src", "dst", 3, 50))
 def reach_callees_d3_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.reach(_edges(spark, sf_dir), ["c#1", "c#2"], 3, 50)
+    return graph.reach(_edges(spark, sf_dir), ["c#1", "c#2"], 3, 50, near=lambda ids: _edges(spark, sf_dir, ids))
 
 
 @query(_levels("'p#3'", "dst", "src", 2, 0))
@@ -273,7 +283,7 @@ def reach_callers_d2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_levels("'c#4'", "src", "dst", 3, 20, True))
 def type_reach_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.reach(_edges(spark, sf_dir), ["c#4"], 3, 20, ["flag"])
+    return graph.reach(_edges(spark, sf_dir), ["c#4"], 3, 20, ["flag"], near=lambda ids: _edges(spark, sf_dir, ids))
 
 
 @query(

@@ -20,6 +20,10 @@ def test_intervals_against_sets(spark):
         return {x for kk, kd, a, b in rows if kk == k and kd == kind for x in range(a, b)}
 
     merged = intervals.merge(df.where("kind = 'a' and start < end"), ["k"]).collect()
+    assert sorted(merged) == sorted(intervals.merge(df.where("kind = 'a' and start < end"), ["k"], width=7).collect())
+    asked, spans = df.where("kind = 'a'").selectExpr("k", "start * 100 + k as id", "start as ps", "start + 1 as pe").distinct(), df.where("kind = 'b'").withColumn("tie", F.col("start") * 100 + F.col("end"))
+    least = [intervals.smallest_enclosing(asked, spans, ["k"], ("ps", "pe"), ("start", "end"), "id", "tie", width=w).select("id", "tie").collect() for w in (None, 4)]
+    assert sorted(map(str, least[0])) == sorted(map(str, least[1])) and any(r.tie for r in least[0]) and any(r.tie is None for r in least[0])
     left = intervals.subtract(df.where("kind = 'a'"), df.where("kind = 'b'"), ["k"]).collect()
     for k in (1, 2):
         assert {x for r in merged if r.k == k for x in range(r.start, r.end)} == points("a", k)
@@ -117,3 +121,14 @@ def test_config_chain():
     r = modules.resolver("tsconfig.json", tree.get)
     assert (r.base, r.paths) == ("src", {"a": ["b"]})
     assert modules.resolver("none.json", tree.get).paths == {}
+
+
+def test_lines_of_texts(spark):
+    texts = ["", "a", "a\n", "\n\nbé\nc", None]
+    df = spark.createDataFrame([(k, t, [0, 1, 2, 5]) for k, t in enumerate(texts)], "k int, t string, at array<int>")
+    got = {(r.k, r.line): (r.start, r.n_bytes) for r in intervals.lines(df, "k", "t").collect()}
+    assert got == {(0, 1): (0, 0), (1, 1): (0, 1), (2, 1): (0, 1), (2, 2): (2, 0), (3, 1): (0, 0), (3, 2): (1, 0), (3, 3): (2, 3), (3, 4): (6, 1)}
+    at = intervals.lines_at(df.where("k = 3"), "k", "t", "at").collect()
+    assert [(r.offset, r.line) for r in at] == [(0, 1), (1, 2), (2, 3), (5, 3)]
+    offsets = df.where("k = 3").select("k", F.explode("at").alias("offset"))
+    assert sorted(map(tuple, intervals.offsets_to_lines(offsets, intervals.lines(df, "k", "t"), "k").collect())) == sorted(map(tuple, at))
