@@ -53,10 +53,29 @@ class ByteBpe:
         self.cut = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+").findall
         self.whole = _OTHER.search if known else lambda text: True
         self.kept: dict[str, bytes] = {}
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.spaced[[i for x, i in vocabulary.items() if x[:1] == "Ġ"]] = True  # tokens that begin with a space
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of each pre-token. Those of a space and more are encoded as one text, whose ids are cut where a token
+        begins with a space."""
+        spaced = [w for w in words if w[0] == " " and not w[1:2].isspace() and len(w) > 1]
+        out: dict[str, bytes] = {}
+        for lo in range(0, len(spaced), 1024):
+            own = spaced[lo : lo + 1024]
+            found = np.array(self.library.encode_batch_fast(["".join(own)], add_special_tokens=False)[0].ids, "<u4")
+            edges = np.append(np.flatnonzero(self.spaced[found]), len(found))
+            if len(edges) == len(own) + 1:
+                ids, edges = found.tobytes(), 4 * edges
+                out.update((w, ids[a:b]) for w, a, b in zip(own, edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+        rest = [w for w in words if w not in out]
+        out.update(zip(rest, self._encode(rest), strict=True))
+        return out
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
         for lo in range(0, len(texts), 1024):
@@ -70,7 +89,7 @@ class ByteBpe:
         missing = list(met.difference(kept))
         if missing:
             full = len(kept) >= KEEP  # the first to come are the most frequent; once full, it stays as it is
-            kept.update(zip(missing, self._encode(missing), strict=True))
+            kept.update(self._encode_words(missing))
         out = [self._encode([x])[0] if words is None else b"".join(map(kept.__getitem__, words)) for x, words in zip(texts, cut, strict=True)]
         for word in missing:
             if full or len(word) > KEEP_CHARS:

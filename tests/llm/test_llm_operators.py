@@ -515,6 +515,9 @@ def library():
 def test_ids_are_the_library_s(library):
     own = ByteBpe(default_path("byte_bpe_50k.json"))
     texts = [t for t in TEXTS if t is not None] + [prose(50) for _ in range(50)]
+    rng = random.Random(9)
+    texts += ["".join(rng.choice(" \n\t'abézß日12.!s") for _ in range(200)) for _ in range(300)]
+    texts += [" ".join("".join(rng.choice("abcdefgéß19-") for _ in range(rng.randrange(1, 9))) for _ in range(40_000))]
     for _ in range(2):
         assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
