@@ -1,7 +1,10 @@
 """From raw documents to packed sequences: each stage works on all that the one before kept.
 
 Stages (each takes spark, docs, sf_dir; what it returns is written as Parquet and read again as the next one's docs): quality rules,
-SimHash near-duplicates, benchmark decontamination, personal data, packing. All but the last return the columns of documents."""
+SimHash near-duplicates, benchmark decontamination, personal data, packing. All but the last return the columns of documents.
+
+Defined results: null, blank and very short texts fail the quality rules; of repeated rows one stays; without labels only the base rules
+hold; without benchmark items every document is clean; an empty table gives no rows; other columns are kept up to packing."""
 
 from __future__ import annotations
 

@@ -31,6 +31,21 @@ def test_stages_keep_columns_and_clean_documents(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids[4]
 
 
+def test_odd_tables(spark, tmp_path):
+    """Nulls in every column, repeated rows, an empty benchmark, no labels; then only null texts; then no rows."""
+    text = " ".join(f"w{j}" for j in range(40))
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, score double, key string"
+    rows = [(1, text, "en", "s", 9, 0.5, "k"), (1, text, "en", "s", 9, 0.5, "k"), (2, None, None, None, None, None, None), (None, text.replace("w", "v"), None, None, None, None, None), (None, None, None, None, None, None, None)]
+    empty = {"benchmark": "item_id long, text string", "labels": "doc_id long, quality int, toxic int"}
+    for name, own, want in (("mixed", rows, {1, None}), ("null", [rows[2], rows[4]], set()), ("none", [], set())):
+        home = tmp_path / name
+        spark.createDataFrame(own, kinds).write.parquet(str(home / "documents.parquet"))
+        for k, v in empty.items():
+            spark.createDataFrame([], v).write.parquet(str(home / f"{k}.parquet"))
+        got = corpus_pipeline.run(spark, str(home)).collect()
+        assert {r.doc_id for r in got} == want and len(got) == len(want), name
+
+
 def test_dedup_stage_keeps_one_of_texts_at_0_8(spark):
     rng = random.Random(8)
     texts = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(500)) for _ in range(rng.randrange(40, 200))) for _ in range(40)]
